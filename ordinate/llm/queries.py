@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality
+from . import decontaminate, language, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("lang").alias("declared"), "language", F.round("confidence", 4).alias("confidence"), "accepted")
+
+
+def llm_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", F.col("lang").alias("declared"), "host", "language", F.round("confidence", 4).alias("confidence"), "accepted")
+
+
 QUERIES = {
+    "op1_language": op1_language,
+    "llm_page_language": llm_page_language,
     "op3_quality": op3_quality,
     "op5_decontaminate": op5_decontaminate,
 }
