@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, quality
+from . import decontaminate, jaccard, language, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,12 @@ def llm_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.col("lang").alias("declared"), "host", "language", F.round("confidence", 4).alias("confidence"), "accepted")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_jaccard": op6_jaccard,
     "op1_language": op1_language,
     "llm_page_language": llm_page_language,
     "op3_quality": op3_quality,
