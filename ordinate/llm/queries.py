@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, quality
+from . import decontaminate, jaccard, language, lines, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES = {
+    "op7_lines": op7_lines,
     "op6_jaccard": op6_jaccard,
     "op1_language": op1_language,
     "llm_page_language": llm_page_language,
