@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, lines, quality
+from . import decontaminate, jaccard, language, lines, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,12 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
+    "op8_urls": op8_urls,
     "op7_lines": op7_lines,
     "op6_jaccard": op6_jaccard,
     "op1_language": op1_language,
@@ -55,6 +60,23 @@ QUERIES = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op8_urls": rf"""
+WITH p AS (
+  SELECT page_id,
+         coalesce({_LOWER.format("regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')")}, '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+r AS (
+  SELECT * FROM (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)}) AS r(verdict, rule_host, rule_path)),
+f AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS n
+  FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN len(list_intersect(string_split(host, '.'), [{", ".join(f"'{x}'" for x in urls.LISTED_LABELS)}])) > 0
+                              THEN 'block' ELSE 'allow' END) AS verdict
+FROM f WHERE n = 1
+""",
     "op5_decontaminate": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
