@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, lines, quality, urls
+from . import decontaminate, jaccard, language, lines, mixing, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,49 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = mixing.mixed(table(spark, sf_dir, "documents"))
+    return sampled.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"))
+
+
+def _mixing_sql() -> str:
+    """The same raking, its rounds written out."""
+    topic = "CASE " + " ".join(
+        f"WHEN {' OR '.join(f"contains(text, '{m}')" for m in marks)} THEN '{name}'" for name, marks in mixing.TOPICS
+    )
+    attributes = list(mixing.POWERS)
+    ctes = [
+        f"""d AS (SELECT doc_id, source, lang, {topic} ELSE '{mixing.OTHER}' END AS topic,
+  coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0) AS n_tokens FROM documents)""",
+        """c AS (SELECT coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, topic, sum(n_tokens) AS tokens
+  FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)""",
+    ]
+    for k, power in mixing.POWERS.items():
+        ctes.append(f"""t_{k} AS MATERIALIZED (SELECT {k}, t / sum(t) OVER () AS t_{k} FROM (
+  SELECT {k}, pow(sum(tokens) / CAST((SELECT sum(tokens) FROM c) AS DOUBLE), {power}) AS t FROM c GROUP BY {k}))""")
+    joins = " ".join(f"JOIN t_{k} USING ({k})" for k in attributes)
+    ctes.append(f"w0 AS (SELECT *, tokens / CAST((SELECT sum(tokens) FROM c) AS DOUBLE) AS weight FROM c {joins})")
+    n = 0
+    for _ in range(mixing.SWEEPS):
+        for k in attributes:
+            ctes.append(f"w{n + 1} AS (SELECT * REPLACE (coalesce(weight * t_{k} / nullif(sum(weight) OVER (PARTITION BY {k}), 0), 0) AS weight) FROM w{n})")
+            n += 1
+    ctes.append(f"w AS MATERIALIZED (SELECT source, lang, topic, tokens, weight FROM w{n})")
+    ctes.append(f"k0 AS MATERIALIZED (SELECT {mixing.SHARE} * sum(tokens) AS wanted, {mixing.SHARE} * sum(tokens) / sum(weight) AS k FROM w)")
+    for i in range(mixing.RAISES):
+        ctes.append(f"""k{i + 1} AS MATERIALIZED (SELECT any_value(wanted) AS wanted,
+  CASE WHEN sum(CASE WHEN tokens <= k * weight THEN 0 ELSE weight END) > 0
+       THEN greatest(0, any_value(wanted) - sum(CASE WHEN tokens <= k * weight THEN tokens ELSE 0 END))
+            / sum(CASE WHEN tokens <= k * weight THEN 0 ELSE weight END) ELSE any_value(k) END AS k FROM w, k{i})""")
+    ctes.append(f"p AS (SELECT source, lang, topic, least(1, k * weight / tokens) AS probability FROM w, k{mixing.RAISES})")
+    return f"""WITH {", ".join(ctes)}
+SELECT doc_id, d.source, d.lang, d.topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(probability, 6) AS probability
+FROM d JOIN p ON coalesce(d.source, '(none)') = p.source AND coalesce(d.lang, '(none)') = p.lang AND d.topic = p.topic
+WHERE n_tokens > 0 AND CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / CAST(1::BIGINT << 52 AS DOUBLE) < probability"""
+
+
 QUERIES = {
+    "op4_mixing": op4_mixing,
     "op8_urls": op8_urls,
     "op7_lines": op7_lines,
     "op6_jaccard": op6_jaccard,
@@ -60,6 +102,7 @@ QUERIES = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op4_mixing": _mixing_sql(),
     "op8_urls": rf"""
 WITH p AS (
   SELECT page_id,
