@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, jaccard, language, lines, mixing, quality, urls
+from . import decontaminate, embeddings, extraction, jaccard, language, lines, mixing, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,7 +92,12 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 QUERIES = {
+    "op10_extraction": op10_extraction,
     "op9_embeddings": op9_embeddings,
     "op4_mixing": op4_mixing,
     "op8_urls": op8_urls,
