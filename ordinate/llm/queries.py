@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, extraction, jaccard, language, lines, mixing, quality, urls
+from . import decontaminate, embeddings, extraction, jaccard, language, lines, mixing, quality, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,7 +96,13 @@ def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.document_counts(table(spark, sf_dir, "documents"))
+    return found.select(F.regexp_replace("file", r"^part-(\d+)-.*-(c\d+)\..*$", "$1-$2").alias("file"), "doc_no", "n_tokens")
+
+
 QUERIES = {
+    "op2_tokens": op2_tokens,
     "op10_extraction": op10_extraction,
     "op9_embeddings": op9_embeddings,
     "op4_mixing": op4_mixing,
