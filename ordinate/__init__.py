@@ -1,0 +1 @@
+"""Tensor and sequence analytics on Spark: tensors are relations, their operators are DataFrame plans."""
