@@ -70,7 +70,8 @@ class TensorFrame:
 
     def to_data(self) -> list[float]:
         """All values in row-major order, on the driver: for small tensors."""
-        return [r.v for r in self.df.orderBy(*self.axes).collect()]
+        ordered = self.df.orderBy(*self.axes) if self.rank else self.df
+        return [r.v for r in ordered.collect()]
 
     def to_rows(self, name: str = "x") -> DataFrame:
         """The last axis as an array column in its order."""

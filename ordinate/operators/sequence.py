@@ -107,7 +107,7 @@ def linear_scan(df: DataFrame, keys: list[str], t: str, log_decay: str, inputs:
         spread = folded.select(F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_fold.out").alias("o"))).alias("_z"))
         return spread.select(*[F.col(f"_z.r._row.{c}").alias(c) for c in columns], F.col("_z.o.h").alias(out))
     chunks = folded.select(*keys, "_chunk", F.col("_fold.total").alias("_total"), F.col("_fold.h").alias("_last"))
-    ends = linear_scan(chunks, keys, "_chunk", "_total", "_last", "_end", chunk, -(-most // chunk))
+    ends = linear_scan(chunks, keys, "_chunk", "_total", "_last", "_end", max(chunk, CHUNK), -(-most // chunk))
     carried = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_chunk") + 1).alias("_next"), "_end")
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_chunk") == F.col("_next")]
     met = folded.join(carried, on, "left")
