@@ -23,7 +23,7 @@ from .common import prepare, texts
 
 THRESHOLD = 0.5
 #: Pseudo-count of features and of edges; labelled pages made for the default model, and their seed.
-SMOOTHING, PAGES, SEED = 0.5, 400, 3
+SMOOTHING, PAGES, SEED = 0.5, 600, 3
 #: Attribute that labels a block of a training page and all below it, 1 or 0.
 LABEL = "data-y"
 
@@ -45,10 +45,12 @@ _NAME = re.compile(r"[a-z]+")
 
 @dataclass(slots=True)
 class Node:
-    """A block of a page. texts: its own pieces of text as (order on the page, text)."""
+    """A block of a page. within, under: its parent's tag and names; texts: its own pieces of text as (order on the page, text)."""
 
     tag: str
     parent: int
+    within: str = ""
+    under: tuple[str, ...] = ()
     names: tuple[str, ...] = ()
     label: int | None = None
     texts: list[tuple[int, str]] = field(default_factory=list)
@@ -121,7 +123,7 @@ def parse(page: str) -> list[Node]:
             if name in ("html",):
                 nodes[0].names = tuple(words)
             elif name not in VOID:
-                nodes.append(Node(name, stack[-1][0], tuple(dict.fromkeys(words)), label))
+                nodes.append(Node(name, stack[-1][0], stack[-1][1], nodes[stack[-1][0]].names, tuple(dict.fromkeys(words)), label))
                 stack.append((len(nodes) - 1, name))
     if at < end:
         add(page[at:end])
@@ -130,10 +132,11 @@ def parse(page: str) -> list[Node]:
 
 
 def features(node: Node) -> list[str]:
-    own = sum(len(t) for _, t in node.texts)
-    length = 0 if not own else 1 + min(5, int(math.log(own + 1, 4)))
-    linked = 0 if not own else 1 + min(2, 3 * node.linked // max(1, own))
-    return [f"tag={node.tag}", f"length={length}", f"links={linked}", *(f"name={w}" for w in node.names)]
+    """Tag with parent's tag and whether it has names; its and the parent's names; of blocks with text, its length and share of links."""
+    out = [f"tag={node.tag}<{node.within}{'+' if node.names else ''}", *(f"name={w}" for w in node.names), *(f"under={w}" for w in node.under)]
+    if own := sum(len(t) for _, t in node.texts):
+        out.append(f"text={min(4, int(math.log(own + 1, 4)))},{min(2, 3 * node.linked // own)}")
+    return out
 
 
 @dataclass
@@ -314,7 +317,7 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
     def content() -> str:
         tag = r.choice(("article", "article", "article", "main", "div", "section"))
         inner = [f"<h1>{words(1, 12)}</h1>"] if r.random() < 0.85 else []
-        inner += [piece() for _ in range(r.randint(1, 14))]
+        inner += [piece() for _ in range(r.choice((1, 1, 2, 3, r.randint(4, 14), r.randint(4, 14))))]
         for extra, much in ((advert, 0.3), (notice, 0.1), (form, 0.1), (side, 0.15), (comments, 0.15), (lambda: menu().replace(">", ' data-y="0">', 1), 0.1)):
             if r.random() < much:
                 inner.insert(r.randint(1, len(inner)), extra())
