@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader.
 
-Labelled rows are dealt to SHARDS groups by a hash of their id; each group trains a model of its own in one pass
-after another, and the models are averaged by a grouped sum over their non-zero weights. A model has 2**BITS
+Labelled rows are dealt by a hash of their id to shards of about SHARD_ROWS; each shard trains a model of its own in
+one pass after another, and the models are averaged by a grouped sum over their non-zero weights. A model has 2**BITS
 weights at most, whatever the corpus. Scores are sparse dot products of a text's n-gram counts with the weights.
 """
 
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import prepare, texts
 
 BITS = 20
-SHARDS = 16
+#: Labelled rows of a shard, about.
+SHARD_ROWS = 2000
 #: Labelled rows that a model is fitted on, about, at most: a hash of the ids thins out larger sets.
 MAX_ROWS = 32_000
 EPOCHS = 3
@@ -123,9 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     n = marked.count()
     if n > max_rows:
         marked = marked.where(F.pmod(F.xxhash64("labelled_id", F.lit(SEED)), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
+    shards = max(1, -(-min(n, max_rows) // SHARD_ROWS))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), texts().alias("text"))
     rows = rows.join(F.broadcast(marked), F.col("doc_id") == F.col("labelled_id"))  # about max_rows rows
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(SHARDS)).alias("shard"), "doc_id", "text", "y")
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(shards)).alias("shard"), "doc_id", "text", "y")
 
     def fit(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("doc_id")
@@ -144,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
     total = rows.groupBy("shard").applyInArrow(fit, "i bigint, w double").groupBy("i").agg(F.sum("w").alias("w")).toArrow()
     model = np.zeros(1 << BITS)
-    model[total.column("i").to_numpy()] = total.column("w").to_numpy() / SHARDS
+    model[total.column("i").to_numpy()] = total.column("w").to_numpy() / shards
     return model
 
 
