@@ -59,6 +59,13 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """stem, with as many underscores after it as no column of df needs to begin with it, whatever its case."""
+    while any(c.lower().startswith(stem.lower()) for c in df.columns):
+        stem += "_"
+    return stem
+
+
 def texts(column: str = "text"):
     """The UTF-8 bytes of a text column: words are taken from bytes, without decoding."""
     return F.col(column).cast("string").cast("binary")

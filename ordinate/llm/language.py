@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_list, prepare, small, texts, written
+from .common import flat_list, fresh, prepare, small, texts, written
 
 #: Hash buckets of letter trigrams.
 BUCKETS = 1 << 14
@@ -142,14 +142,16 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     prepare(docs.sparkSession)
     model = model or train(docs, text, declared)
     k = len(model.languages)
+    pre = fresh(docs, "_lid")
+    n = lambda name: f"{pre}{name}"
     host_of = F.lower(F.col(host).cast("string"))
     domain_of, suffix_of = _host_parts(host_of)
-    keyed = docs.withColumns({"_lid_host": host_of, "_lid_domain": domain_of, "_lid_suffix": suffix_of, "_lid_code": _code(F.col(declared))})
-    scored = log_likelihoods(keyed, model, text, "_lid_text")
-    letters = F.exists("_lid_text", lambda x: x != 0)
+    keyed = docs.withColumns({n("host"): host_of, n("domain"): domain_of, n("suffix"): suffix_of, n("code"): _code(F.col(declared))})
+    scored = log_likelihoods(keyed, model, text, n("text"))
+    letters = F.exists(n("text"), lambda x: x != 0)
 
-    best = F.array_position("_lid_text", F.array_max("_lid_text")).cast("int") - 1
-    counts = scored.where(letters).select(F.col("_lid_host").alias("h"), F.col("_lid_domain").alias("d"), F.col("_lid_suffix").alias("s"), F.col("_lid_code").alias("c"), best.alias("best"))
+    best = F.array_position(n("text"), F.array_max(n("text"))).cast("int") - 1
+    counts = scored.where(letters).select(F.col(n("host")).alias("h"), F.col(n("domain")).alias("d"), F.col(n("suffix")).alias("s"), F.col(n("code")).alias("c"), best.alias("best"))
     counts = written(counts.groupBy("h", "d", "s", "c", "best").agg(F.count("*").alias("n")), "evidence")
 
     everywhere = {r.best: r.n for r in counts.groupBy("best").agg(F.sum("n").alias("n")).collect()}  # a row for each language
@@ -167,30 +169,30 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
         distinct = F.lit(float(rows.count() + 1))
         all_of = F.array(*[F.lit(float(everywhere.get(i, 0))) for i in range(k)])
         share = F.zip_with("by", all_of, lambda n, t: F.log((n + ALPHA_EVIDENCE) / (t + ALPHA_EVIDENCE * distinct)))
-        return rows.select(F.col(key).alias(f"_lid_key_{key}"), share.alias(f"_lid_log_{key}"))
+        return rows.select(F.col(key).alias(n(f"key_{key}")), share.alias(n(f"log_{key}")))
 
     domains = _sums(counts.where("d IS NOT NULL"), ["d"], k).select(F.col("d").alias("dd"), smoothed(F.col("by"), flat).alias("of_domain"))
     hosts = _sums(counts.where("h IS NOT NULL"), ["h", "d"], k).join(small(written(domains, "domains")), F.col("d") == F.col("dd"), "left")
     prior = F.transform(smoothed(F.col("by"), F.coalesce("of_domain", flat)), lambda p: F.log(p))
-    hosts = written(hosts.select(F.col("h").alias("_lid_key_h"), prior.alias("_lid_log_h")), "hosts")
+    hosts = written(hosts.select(F.col("h").alias(n("key_h")), prior.alias(n("log_h"))), "hosts")
 
-    out = scored.join(small(hosts), F.col("_lid_host") == F.col("_lid_key_h"), "left")
-    for key, column in (("c", "_lid_code"), ("s", "_lid_suffix")):
-        out = out.join(small(written(likelihood(key), "likelihood")), F.col(column) == F.col(f"_lid_key_{key}"), "left")
+    out = scored.join(small(hosts), F.col(n("host")) == F.col(n("key_h")), "left")
+    for key, column in (("c", n("code")), ("s", n("suffix"))):
+        out = out.join(small(written(likelihood(key), "likelihood")), F.col(column) == F.col(n(f"key_{key}")), "left")
 
     zeros = F.array_repeat(F.lit(0.0), k)
     log_base = F.array(*[F.lit(float(np.log(p))) for p in base])
-    terms = [F.col("_lid_text"), F.coalesce("_lid_log_h", log_base), F.coalesce("_lid_log_c", zeros), F.coalesce("_lid_log_s", zeros)]
+    terms = [F.col(n("text")), F.coalesce(n("log_h"), log_base), F.coalesce(n("log_c"), zeros), F.coalesce(n("log_s"), zeros)]
     joint = terms[0]
     for t in terms[1:]:
         joint = F.zip_with(joint, t, lambda a, b: a + b)
-    out = out.withColumn("_lid_joint", joint)
-    top = F.array_max("_lid_joint")
-    share = 1 / F.aggregate(F.col("_lid_joint"), F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    named = F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.array_position("_lid_joint", top).cast("int"))
+    out = out.withColumn(n("joint"), joint)
+    top = F.array_max(n("joint"))
+    share = 1 / F.aggregate(F.col(n("joint")), F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    named = F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.array_position(n("joint"), top).cast("int"))
     out = out.withColumns({"language": F.when(letters, named).otherwise(UNDETERMINED), "confidence": F.when(letters, share).otherwise(0.0)})
     out = out.withColumn("accepted", (F.col("language") != UNDETERMINED) & (F.col("confidence") >= MIN_CONFIDENCE))
-    return out.drop(*[c for c in out.columns if c.startswith("_lid_")])
+    return out.drop(*[c for c in out.columns if c.startswith(pre)])
 
 
 def address_host(url: str) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, small, written
+from .common import dropped, fresh, small, written
 
 #: Attributes and how much of the difference between their categories' shares the targets keep: share ** power.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -118,10 +118,11 @@ def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str,
     attributes = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.coalesce(text, F.lit("")))}
     cells = written(cells_of(docs, attributes, tokens_of(text)), "cells")
     weights = fitted(cells, powers, targets)
-    chosen = written(calibrated(weights, share).select(*[F.col(k).alias(f"_{k}") for k in attributes], F.col("probability").alias("_probability")), "probabilities")
+    pre = fresh(docs, "_mix")
+    renamed = [F.col(k).alias(f"{pre}{k}") for k in attributes]
+    chosen = written(calibrated(weights, share).select(*renamed, F.col("probability").alias(f"{pre}p")), "probabilities")
     dropped(cells)
-    given = docs.withColumn("topic", attributes["topic"])
-    on = [F.coalesce(F.col(k).cast("string"), F.lit(NONE)) == F.col(f"_{k}") for k in attributes]
-    out = given.join(small(chosen), on).where(chance(F.col("doc_id"), seed) < F.col("_probability"))
-    out = out.withColumns({"n_tokens": tokens_of(text), "probability": F.col("_probability")}).where("n_tokens > 0")
-    return out.drop(*[f"_{k}" for k in attributes], "_probability")
+    on = [F.coalesce(c.cast("string"), F.lit(NONE)) == F.col(f"{pre}{k}") for k, c in attributes.items()]
+    out = docs.join(small(chosen), on).where(chance(F.col("doc_id"), seed) < F.col(f"{pre}p"))
+    out = out.withColumns({"topic": attributes["topic"], "n_tokens": tokens_of(text), "probability": F.col(f"{pre}p")}).where("n_tokens > 0")
+    return out.drop(*chosen.columns)

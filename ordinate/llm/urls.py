@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 #: Rules as (verdict, host, path): for the host and its subdomains, if the path starts with the rule's.
 RULES = (
@@ -122,10 +122,12 @@ def judged(pages: DataFrame, url: str = "url", rules=RULES, listed=listed_host)
     try:
         inside = Cascade(universe).contains(F.col("host"))
     except OverflowError:
-        keys = universe.where("listed").select(F.col("key").alias("_listed"))
-        parsed = parsed.join(keys, F.col("host") == F.col("_listed"), "left")
-        inside = F.col("_listed").isNotNull()
+        name = fresh(pages, "_listed")
+        keys = universe.where("listed").select(F.col("key").alias(name))
+        parsed = parsed.join(keys, F.col("host") == F.col(name), "left")
+        inside = F.col(name).isNotNull()
     method = F.when(inside, "block").otherwise("allow")
-    return parsed.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)}).drop("_listed")
+    out = parsed.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)})
+    return out.select(*[c for c in out.columns if c in pages.columns or c in ("host", "path", "rule", "verdict")])
 
 

@@ -1,0 +1,88 @@
+import math
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ordinate.llm import language as L
+
+from .helpers import docs, table
+
+
+def brute(rows):
+    """The fusion by plain counting; rows: (text, declared, host)."""
+    codes = sorted({d for t, d, _ in rows if t is not None and d})
+    names = [*codes, L.UNDETERMINED]
+    n = np.zeros((len(names), L.BUCKETS))
+    for t, d, _ in rows:
+        if t is not None and d:
+            n[codes.index(d)] += np.bincount(L.trigrams(t.encode()), minlength=L.BUCKETS)
+    log_p = np.log((n + L.ALPHA) / (n + L.ALPHA).sum(1, keepdims=True)).astype(np.float32)
+    texts = []
+    for t, _, _ in rows:
+        g = L.trigrams(t.encode() if t is not None else None)
+        texts.append(log_p[:, g].astype(float).sum(1) * min(1, L.MOST_TRIGRAMS / len(g)) if len(g) else None)
+    best = [None if x is None else int(np.argmax(x)) for x in texts]
+    k = len(names)
+    every = Counter(b for b in best if b is not None)
+    total = sum(every.values())
+    base = np.array([every.get(i, 0) + 1.0 for i in range(k)])
+    base[-1] = L.UNKNOWN * (total + k)
+    base /= base.sum()
+
+    def by(keys):
+        out = {}
+        for key, b in zip(keys, best):
+            if key is not None and b is not None:
+                out.setdefault(key, np.zeros(k))[b] += 1
+        return out
+
+    hosts = [h.lower() if h is not None else None for _, _, h in rows]
+    domains = [".".join(h.split(".")[-2:]) if h is not None else None for h in hosts]
+    suffixes = [h.split(".")[-1] if h is not None and "." in h else None for h in hosts]
+    n_h, n_d, n_s, n_c = by(hosts), by(domains), by(suffixes), by([d for _, d, _ in rows])
+    smooth = lambda c, p: (c + L.KAPPA * p) / (c.sum() + L.KAPPA)
+    all_of = np.array([every.get(i, 0) for i in range(k)], float)
+    like = lambda c, m: np.log((c + L.ALPHA_EVIDENCE) / (all_of + L.ALPHA_EVIDENCE * (m + 1)))
+    out = []
+    for x, h, d, s, (_, c, _) in zip(texts, hosts, domains, suffixes, rows):
+        if x is None:
+            out.append((L.UNDETERMINED, 0.0))
+            continue
+        j = x + np.log(smooth(n_h[h], smooth(n_d[d], base)) if h is not None else base)
+        j += like(n_c[c], len(n_c)) if c in n_c else 0
+        j += like(n_s[s], len(n_s)) if s in n_s else 0
+        p = np.exp(j - j.max())
+        out.append((names[int(np.argmax(j))], float(p.max() / p.sum())))
+    return out
+
+
+def test_against_plain_counting(spark, sf_dir):
+    rows = [(r.text, r.lang, r.source + r.s) for r in table(spark, sf_dir, "documents").withColumn("s", F.when(F.col("doc_id") % 2 == 0, ".example.org").otherwise("")).collect()]
+    given = [(i, *r) for i, r in enumerate(rows)] + [(900, None, "en", None), (901, "123 !!", "en", "x"), (902, "the and of the", None, None)]
+    got = {r.doc_id: (r.language, r.confidence) for r in L.identify(docs(spark, given)).collect()}
+    want = brute([r[1:] for r in given])
+    for (i, *_), (code, p) in zip(given, want):
+        assert got[i][0] == code and math.isclose(got[i][1], p, rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_wrong_declarations_are_overruled_and_clean_documents_stay(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("lang IN ('en', 'de')")
+    wrong = d.where(F.length("text") > 300).limit(3).withColumns({"doc_id": F.col("doc_id") + 100000, "lang": F.when(F.col("lang") == "en", "de").otherwise("en")})
+    got = L.identify(d.unionByName(wrong).withColumn("given", F.col("lang"))).collect()
+    assert all(r.accepted for r in got if r.doc_id < 100000)
+    assert all(r.language != r.given for r in got if r.doc_id >= 100000)
+
+
+def test_edges(spark):
+    rows = [(1, None, None, None), (1, None, None, None), (2, "", "", ""), (None, "bonjour le monde", "fr-FR", "a.b.fr"), (3, "hello " * 30000, "en", "A.B.FR"), (4, "中文", "zz9", "h")]
+    given = docs(spark, rows).withColumns({"language": F.lit("x"), "best": F.lit(1), "h": F.lit(1), "n": F.lit(2)})
+    got = L.identify(given).collect()
+    assert len(got) == 6 and all(r.language == "und" and not r.accepted for r in got if r.doc_id in (1, 2))
+    assert [r.language for r in got if r.doc_id is None] == ["fr"]
+    assert L.identify(docs(spark, [])).count() == 0
+
+
+def test_pages(spark, sf_dir):
+    got = L.identify_pages(table(spark, sf_dir, "pages")).collect()
+    assert sum(r.language == r.lang for r in got) > 0.95 * len(got) and all(r.host for r in got)
