@@ -112,7 +112,8 @@ def log_likelihoods(docs: DataFrame, model: Model, text: str, out: str) -> DataF
                 rows[i] = log_p[:, at] @ n[at].astype(np.float32) * min(1.0, MOST_TRIGRAMS / len(got))
         return flat_list(rows.ravel(), np.full(len(rows), k), pa.float32())
 
-    return docs.withColumn(out, scored(texts(text)))
+    once = scored.asNondeterministic()  # else a filter on the result would compute it twice
+    return docs.withColumn(out, once(texts(text)))
 
 
 def _host_parts(host: Column) -> tuple[Column, Column]:
