@@ -26,8 +26,10 @@ MIN_SHARE = 0.005
 MOST_TRIGRAMS = 60
 #: Pseudo-counts: of trigrams, of declared languages and suffixes, and of the smoothing of hosts and domains.
 ALPHA, ALPHA_EVIDENCE, KAPPA = 0.5, 1.0, 20.0
-#: Prior of texts in none of the languages, under which trigrams are uniform.
-UNKNOWN = 1e-3
+#: Share of trigrams in any text that are of no language (names, keys, codes), and uniform.
+NOISE = 0.1
+#: Prior of texts in none of the languages, under which all trigrams are uniform.
+UNKNOWN = 1e-4
 #: Posterior from which a document is accepted.
 MIN_CONFIDENCE = 0.5
 #: Name of no language.
@@ -92,7 +94,8 @@ def train(docs: DataFrame, text: str = "text", declared: str = "lang") -> Model:
         row = np.searchsorted(chosen, got.column("declared").to_pylist()) if got.num_rows else np.zeros(0, np.int64)
         n[row, got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     n[-1] = 0
-    return Model([*chosen, UNDETERMINED], np.log((n + ALPHA) / (n + ALPHA).sum(1, keepdims=True)).astype(np.float32))
+    p = (1 - NOISE) * (n + ALPHA) / (n + ALPHA).sum(1, keepdims=True) + NOISE / BUCKETS
+    return Model([*chosen, UNDETERMINED], np.log(p).astype(np.float32))
 
 
 def log_likelihoods(docs: DataFrame, model: Model, text: str, out: str) -> DataFrame:
