@@ -11,7 +11,6 @@ Only terms of the test set are stored when its vocabulary is handed over: no phr
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, prepare, slices, small, texts, written
+from .common import prepare, slices, small, texts, written
 
 #: Windows of a test item, in words.
 WINDOW = 10
@@ -200,38 +199,54 @@ def windows(items: Iterable[tuple[object, str | None]], size: int = WINDOW) -> d
     return {k: sorted(v) for k, v in out.items()}
 
 
-def _report(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]]) -> DataFrame:
-    counts = {bytes(r.term): r.n for r in term_counts(index).collect()}  # of the test vocabulary, which is bounded
+def _searched(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]], counts: dict[bytes, int], first: bool, last: bool) -> DataFrame:
+    """One round of the search: the report if it is the last, else the index with what was found so far."""
     sent = index.sparkSession.sparkContext.broadcast(_rarest_first(phrases, counts))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in _segments(batches):
-            marks = np.zeros(s.size + 1, np.int32)
-            items = defaultdict(set)
-            for terms, length, owners in sent.value:
-                starts = s.find(terms)
-                if len(starts):
-                    np.add.at(marks, starts, 1)
-                    np.add.at(marks, starts + length, -1)
-                    for d in np.unique(s.document(starts)).tolist():
-                        items[d].update(owners)
-            hit = np.cumsum(marks) > 0
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], hit])))
-            spans = defaultdict(list)
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                d = int(s.document(np.array([a]))[0])
-                spans[d].append({"start": a - int(s.starts[d]), "stop": b - int(s.starts[d])})
-            rows = []
-            for d, (doc_id, n) in enumerate(zip(s.doc_ids, s.lengths.tolist())):
-                found = sorted(items.get(d, ()))
-                n_hit = sum(x["stop"] - x["start"] for x in spans.get(d, ()))
-                digest = hashlib.sha256(",".join(found).encode()).hexdigest()
-                rows.append((doc_id, n, n_hit, len(found), digest, n_hit > 0, found, spans.get(d, [])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _REPORT.types)], schema=_REPORT)
-
-    return index.mapInArrow(search, REPORT_SCHEMA)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                given = row.to_pylist()[0]
+                s = _Segment(given)
+                items = defaultdict(set, {} if first else {d: set(x) for d, x in enumerate(given["found"])})
+                marks = np.zeros(s.size + 1, np.int32)
+                for terms, length, owners in sent.value:
+                    starts = s.find(terms)
+                    if len(starts):
+                        np.add.at(marks, starts, 1)
+                        np.add.at(marks, starts + length, -1)
+                        for d in np.unique(s.document(starts)).tolist():
+                            items[d].update(owners)
+                hit = np.cumsum(marks) > 0
+                if not first:
+                    hit |= np.unpackbits(np.frombuffer(given["hits"], np.uint8), count=len(hit)).astype(bool)
+                if last:
+                    yield _reported(s, hit, items)
+                else:
+                    kept = row.select(_ARROW.names).columns
+                    more = [pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([[sorted(items.get(d, ())) for d in range(len(s.doc_ids))]], _FOUND)]
+                    yield pa.RecordBatch.from_arrays([*kept, *more], names=[*_ARROW.names, "hits", "found"])
+
+    return index.mapInArrow(search, REPORT_SCHEMA if last else f"{INDEX_SCHEMA}, hits binary, found array<array<string>>")
+
 
+def _reported(s: _Segment, hit: np.ndarray, items: dict[int, set[str]]) -> pa.RecordBatch:
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit])))
+    spans = defaultdict(list)
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        d = int(s.document(np.array([a]))[0])
+        spans[d].append({"start": a - int(s.starts[d]), "stop": b - int(s.starts[d])})
+    rows = []
+    for d, (doc_id, n) in enumerate(zip(s.doc_ids, s.lengths.tolist())):
+        found = sorted(items.get(d, ()))
+        n_hit = sum(x["stop"] - x["start"] for x in spans.get(d, ()))
+        digest = hashlib.sha256(",".join(found).encode()).hexdigest()
+        rows.append((doc_id, n, n_hit, len(found), digest, n_hit > 0, found, spans.get(d, [])))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _REPORT.types)], schema=_REPORT)
 
+
+_FOUND = pa.list_(pa.list_(pa.string()))
 _REPORT = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -251,24 +266,31 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
 
     items are the ids (as sorted strings) of the items with occurring windows, spans the hit word ranges.
     Nulls and empty texts have no words; a null doc_id stays null; items of equal ids count once; a test set
-    without words hits nothing. The test set must have ROUND_BYTES of text at most (it is evaluation data, not
-    corpus): its vocabulary and windows are what is broadcast, and a larger set is refused.
+    without words hits nothing. The vocabulary and the windows of a test set of ROUND_BYTES of text at most are
+    broadcast, and the index holds that vocabulary. Of a larger test set every term is indexed, and the windows
+    are searched in rounds of about ROUND_BYTES, each of which adds to what the ones before have found.
     """
     test = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     total = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > ROUND_BYTES:
-        raise ValueError(f"the test set has {total} bytes; search it in parts of {ROUND_BYTES} at most")
-    phrases = windows(((r.item_id, r.text) for r in test.collect()), size)
-    index = written(build_index(docs, {w for p in phrases for w in p}), "postings")
-    return _report(index, phrases)
+    rounds = max(1, -(-total // ROUND_BYTES))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds))
+    phrases_of = lambda k: windows(((r.item_id, r.text) for r in test.where(part == k).collect()), size)
+    phrases = phrases_of(0)
+    terms = {w for p in phrases for w in p}
+    index = found = written(build_index(docs, terms if rounds == 1 else None), "postings")
+    for k in range(rounds):
+        if k:
+            phrases = phrases_of(k)
+            terms = {w for p in phrases for w in p}
+        stored = term_counts(index)
+        if rounds > 1:
+            stored = stored.join(small(docs.sparkSession.createDataFrame([(bytearray(w),) for w in sorted(terms)], "term binary")), "term")
+        counts = {bytes(r.term): r.n for r in stored.collect()}  # of the round's vocabulary
+        found = _searched(found, phrases, counts, k == 0, k == rounds - 1)
+    return found
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of docs whose document holds no window of a test item; rows of one doc_id go or stay together."""
     hit = written(report(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct(), "hits")
     return docs.join(small(hit), docs["doc_id"].cast("bigint").eqNullSafe(hit["hit_id"]), "left_anti")
-
-
-def word_count_pattern() -> re.Pattern:
-    """The words as a pattern over text, for tests and SQL."""
-    return re.compile(WORD_PATTERN)

@@ -47,6 +47,13 @@ def test_edges(spark):
     assert run(spark, rows, []) == brute(rows, []) and run(spark, [], items) == []
 
 
+def test_a_large_test_set_is_searched_in_rounds(spark, sf_dir, monkeypatch):
+    rows = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
+    monkeypatch.setattr(D, "ROUND_BYTES", sum(len(t.encode()) for _, t in items) // 3)
+    assert run(spark, rows, items) == brute(rows, items)
+
+
 def test_extra_columns_and_removal(spark):
     given = docs(spark, [(1, "a b c d e f g h i j k"), (2, "clean text")]).withColumns({"contaminated": F.lit("x"), "hit_id": F.lit(5)})
     b = spark.createDataFrame([(1, "b c d e f g h i j k")], "item_id bigint, text string")
