@@ -446,6 +446,17 @@ def ssm_split_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("user_id", "t", r6(F.col("h")[0]).alias("h"))
 
 
+@query(f"SELECT user_id, t, round(2 * h, 5) + 0.0 AS y0, round(-2 * h, 5) + 0.0 AS y1 FROM ({SCAN.replace('round(sum(exp(l.a - r.a) * r.u), 6) + 0.0', 'sum(exp(l.a - r.a) * r.u)')})")
+def ssm_mimo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two inputs x and 2 x with B = 1 and 1/2, two outputs with C = 1 and -1."""
+    pair = lambda a, b: F.array(F.array(a), F.array(b))
+    df = event_sequences(spark, sf_dir).withColumns({"lam": F.lit(LAMBDA), "rate": F.lit(RATE)})
+    df = df.withColumns({"b": pair(F.lit(1.0), F.lit(0.5)), "c": pair(F.lit(1.0), F.lit(-1.0)), "x": pair(F.col("x"), F.col("x") * 2)})
+    out = sequence.mimo_scan(df, ["user_id"], 2, chunk=32)
+    y = lambda k: (F.round(F.col("y")[k][0], 5) + 0.0).alias(f"y{k}")
+    return out.select("user_id", "t", y(0), y(1))
+
+
 @query(f"""
 WITH e AS (SELECT user_id, t, sum(dt * 0.7) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM {EVENTS})
 SELECT user_id, t, round(s - round(s / 6.283185307179586) * 6.283185307179586, 5) + 0.0 AS phi FROM e

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shape as S
-from .errors import ShapeError
+from .errors import ConfigError, ShapeError
 
 
 def axes(rank: int) -> list[str]:
@@ -141,3 +141,18 @@ def normal(spark: SparkSession, shape: S.Shape, mean: float, std: float, seed: i
         return mean + std * F.sqrt(-2 * F.log(1 - u)) * F.cos(w * 6.283185307179586)
 
     return TensorFrame.generated(spark, shape, draw)
+
+
+def initial(spark: SparkSession, shape: S.Shape, kind: str, seed: int = 0, *, value: float = 0.0, gain: float = 1.0, std: float = 0.02, low: float = -1.0, high: float = 1.0, depth: int = 1) -> TensorFrame:
+    """Starting values of a parameter. fan-in is the first axis, fan-out the second (or the first)."""
+    fan_in, fan_out = (shape[0] if shape else 1), (shape[1] if len(shape) > 1 else shape[0] if shape else 1)
+    even = {"uniform": (low, high), "kaiming_uniform": gain * (3 / fan_in) ** 0.5, "xavier_uniform": gain * (6 / (fan_in + fan_out)) ** 0.5}
+    spread = {"normal": std, "kaiming_normal": gain / fan_in**0.5, "xavier_normal": gain * (2 / (fan_in + fan_out)) ** 0.5, "residual": std / (2 * depth) ** 0.5}
+    if kind in ("zeros", "ones", "constant"):
+        return full(spark, shape, {"zeros": 0.0, "ones": 1.0, "constant": value}[kind])
+    if kind in even:
+        a, b = even[kind] if kind == "uniform" else (-even[kind], even[kind])
+        return uniform(spark, shape, a, b, seed)
+    if kind not in spread:
+        raise ConfigError(f"no initial values {kind}")
+    return normal(spark, shape, value, spread[kind], seed)

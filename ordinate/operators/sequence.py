@@ -173,6 +173,23 @@ def scan(
     return states.select(*df.columns, y.alias("y"), "h")
 
 
+def mimo_scan(df: DataFrame, keys: list[str], rank: int, t: str = "t", x: str = "x", b: str = "b", c: str = "c", **how) -> DataFrame:
+    """df with y for rank inputs and outputs: x, b and c are arrays of rank arrays, and y[i] sums the scans of x[j], b[j], c[i].
+
+    The rank * rank scans are sequences of their own in one plan. how goes to scan(); resume states are not taken.
+    """
+    if rank < 1 or "state" in how:
+        raise ConfigError(f"rank {rank}, {sorted(how)}")
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(rank) for j in range(rank)]))
+    given = df.withColumn("_p", pairs).withColumns({"_i": F.col("_p.i"), "_j": F.col("_p.j")}).drop("_p")
+    given = given.withColumns({x: F.get(x, F.col("_j")), b: F.get(b, F.col("_j")), c: F.get(c, F.col("_i"))})
+    scanned = scan(given, [*keys, "_i", "_j"], t, x, b, c, **how).select(*keys, t, "_i", F.posexplode("y").alias("_k", "_y"))
+    sums = scanned.groupBy(*keys, t, "_i", "_k").agg(F.sum("_y").alias("_y"))
+    rows = sums.groupBy(*keys, t, "_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_y"))), lambda s: s["_y"]).alias("_row"))
+    out = rows.groupBy(*keys, t).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_row"))), lambda s: s["_row"]).alias("y"))
+    return df.join(out, [*keys, t])
+
+
 def final_states(scanned: DataFrame, keys: list[str], t: str = "t", x: str = "x", b: str = "b") -> DataFrame:
     """(keys, h, last_u): the resume state after each sequence's last row."""
     last = F.max_by(F.struct("h", outer(F.col(x), F.col(b)).alias("u")), t)

@@ -206,3 +206,23 @@ def test_state_dict(spark, tmp_path):
     with pytest.raises(StateDictError):
         state.loaded(s, state.filtered(s, "bias"))
     assert state.loaded(s, state.filtered(s, "bias"), strict=False).count() == 2
+
+
+@pytest.mark.parametrize("kind,spread", [("uniform", 3**-0.5), ("normal", 0.02), ("kaiming_uniform", 50**-0.5), ("kaiming_normal", 50**-0.5), ("xavier_uniform", (2 / 90) ** 0.5), ("xavier_normal", (2 / 90) ** 0.5), ("residual", 0.01)])
+def test_initial(spark, kind, spread):
+    v = back(T.initial(spark, (50, 40), kind, 3, depth=2))
+    assert abs(v.mean()) < 0.1 * spread and abs(v.std() / spread - 1) < 0.06
+    assert len(np.unique(v)) == v.size and (back(T.initial(spark, (50, 40), kind, 3, depth=2)) == v).all()
+
+
+def test_mimo(spark):
+    r = np.random.default_rng(8)
+    n, rank = 9, 2
+    x, b, c = r.normal(size=(n, rank, 2)), r.normal(size=(n, rank, 3)), r.normal(size=(n, rank, 3))
+    dt, lam = r.uniform(0.05, 0.6, n), r.uniform(0, 1, n)
+    rows = [(0, t, x[t].tolist(), b[t].tolist(), c[t].tolist(), float(dt[t]), float(lam[t]), -0.7) for t in range(n)]
+    df = spark.createDataFrame(rows, "k bigint, t bigint, x array<array<double>>, b array<array<double>>, c array<array<double>>, dt double, lam double, rate double")
+    got = {row.t: row.y for row in sequence.mimo_scan(df, ["k"], rank, chunk=4).collect()}
+    for i in range(rank):
+        want = sum(direct(x[:, j], b[:, j], c[:, i], dt, lam, -0.7)[0] for j in range(rank))
+        np.testing.assert_allclose([got[t][i] for t in range(n)], want, atol=1e-9)
