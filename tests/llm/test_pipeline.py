@@ -4,7 +4,7 @@ import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from ordinate.llm import common, decontaminate, language, mixing  # noqa: E402
+from ordinate.llm import common, decontaminate, language, lines, mixing  # noqa: E402
 
 from . import test_decontaminate, test_jaccard, test_language, test_lines  # noqa: E402
 from .helpers import docs, table  # noqa: E402
@@ -15,7 +15,7 @@ def brute(documents, benchmark):
     judged = test_language.brute([(r[1], r[2], r[3]) for r in documents])
     rows = [r for r, (code, p) in zip(documents, judged) if code != language.UNDETERMINED and p >= language.MIN_CONFIDENCE]
     cleaned = test_lines.brute([r[:2] for r in rows])
-    rows = [(r[0], cleaned[r[0]], *r[2:]) for r in rows if cleaned[r[0]] == r[1] or cleaned[r[0]].strip(" ")]
+    rows = [(r[0], cleaned[r[0]], *r[2:]) for r in rows if cleaned[r[0]] == r[1] or any(len(lines.normalised(x.encode())) >= lines.MIN_WORDS for x in cleaned[r[0]].split("\n"))]
     groups = dict((i, c) for i, _, c in test_jaccard.brute([r[:2] for r in rows]))
     rows = [r for r in rows if groups[r[0]] == r[0]]
     hit = {r[0]: r[5] for r in test_decontaminate.brute([r[:2] for r in rows], benchmark)}
