@@ -28,6 +28,8 @@ LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets
 #: Bits of one filter at most, 32 MB: they go to every executor. A longer list is looked up by a join.
 MAX_BITS = 1 << 28
 MAX_LEVELS = 64
+#: False positives of a level, at most: each level is a Spark job, so few large ones are cheaper than many small ones.
+RATE = 0.1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,13 +95,13 @@ class Cascade:
         universe = written(universe.select("key", "listed"), "universe")
         inside, outside = universe.where("listed").select("key"), universe.where("NOT listed").select("key")
         n, others = inside.count(), outside.count()
-        rate = min(0.5, max(1e-6, math.sqrt(0.5) * n / max(1, others)))
+        rate = min(RATE, max(1e-6, math.sqrt(0.5) * n / max(1, others)))
         while n:
             if len(self.levels) == MAX_LEVELS:
                 raise RuntimeError("the cascade did not end")
             self.levels.append(Level(inside, n, rate, len(self.levels) + 1))
             inside, outside = written(outside.where(self.levels[-1].passes(F.col("key"))), "passed"), inside
-            n, rate = inside.count(), 0.5
+            n, rate = inside.count(), RATE
 
     def contains(self, key: Column) -> Column:
         found = F.lit(False)
