@@ -45,3 +45,8 @@ def test_stages_keep_columns_and_bear_edges(spark, sf_dir):
 def test_names():
     assert [n for n, _ in pipeline.STAGES] == ["language ID", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights"]
     assert decontaminate.WINDOW == 10
+
+
+def test_a_document_goes_only_if_no_line_is_left(spark, sf_dir):
+    given = docs(spark, [(1, "one line that repeats"), (2, "one line that repeats\nown"), (3, "one line that repeats\n \n"), (4, "one line that repeats\n※※※\n***")])
+    assert sorted(r.doc_id for r in pipeline.dedup_lines(spark, given, sf_dir).collect()) == [1, 2, 4]
