@@ -93,3 +93,10 @@ def test_edges(spark):
 def test_pages(spark, sf_dir):
     got = L.identify_pages(table(spark, sf_dir, "pages")).collect()
     assert sum(r.language == r.lang for r in got) > 0.95 * len(got) and all(r.host for r in got)
+
+
+def test_a_language_of_a_thousandth_is_modelled(spark):
+    rare = "zgłoś się później dziękuję bardzo proszę cześć wszystkim źródło żółty " * 8
+    rows = [(i, f"the river and the house near the hill {i} were seen by them", "en", "s") for i in range(1998)]
+    got = L.identify(docs(spark, [*rows, (5000, rare, "pl", "s"), (5001, rare + "kiedy", "pl", "s")])).where("doc_id >= 5000").collect()
+    assert [(r.language, r.accepted) for r in got] == [("pl", True)] * 2
