@@ -8,11 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table that is broadcast at most; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bits of the bitmap of flagged() at most: 32 MB are broadcast, however many keys there are.
+BITMAP_BITS = 1 << 28
 #: Rows of an Arrow batch: long texts travel in batches of bounded size.
 ARROW_ROWS = 1000
 
@@ -24,9 +26,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of this machine only where no folder is named (tests)."""
+    """The folder that the cluster shares; one of this machine only where none is named and all work is on it (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.gettempdir()}/ordinate-scratch"
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/ordinate"
@@ -59,6 +63,23 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def flagged(df: DataFrame, key: Column, ids: DataFrame, out: str) -> DataFrame:
+    """df with a boolean column out: true for each row whose key is in the one column of ids, false for nearly all others.
+
+    A bitmap of the keys' hashes, of BITMAP_BITS at most, is broadcast: rows that can't have a partner need not be shuffled
+    to find that out. The more keys there are, the more rows without a partner are flagged, too; a join must follow.
+    """
+    bits = max(1 << 15, min(BITMAP_BITS, 1 << (8 * ids.count()).bit_length()))
+    bucket, held = fresh(df, "_bucket"), fresh(df, "_bits")
+    place = lambda c: F.pmod(F.xxhash64(c.cast("bigint")), F.lit(bits)) + 1
+    placed = ids.select(place(F.col(ids.columns[0])).alias("p"))
+    bitmap = placed.groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(held))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    found = df.join(F.broadcast(bitmap), F.bitmap_bucket_number(place(key)) == F.col(bucket), "left")
+    return found.withColumn(out, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(bucket, held)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """stem, with as many underscores after it as no column of df needs to begin with it, whatever its case."""
     while any(c.lower().startswith(stem.lower()) for c in df.columns):
