@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 from .graph import components
 
-#: Pairs for each member of an open key, on average, up to which they are tested at once instead of another round of stars.
-PAIRS_A_MEMBER = 16
-MAX_ROUNDS = 12
+#: Pairs of open keys for each member, on average, up to which they are tested at once instead of another round of stars.
+PAIRS_A_MEMBER = 64
+MAX_ROUNDS = 3
 
 
 def verified(pairs: DataFrame, items: DataFrame, check: Callable, block: int) -> DataFrame:
@@ -52,18 +52,19 @@ def linked(members: DataFrame, items: DataFrame, check: Callable, may: Callable[
     whether they can be alike.
     """
     rest = [c for c in members.columns if c not in ("key", "node")]
-    now, edges, labels = members, [], None
+    now, edges, labels, total = members, [], None, members.count()
     for k in range(MAX_ROUNDS + 1):
         order = F.xxhash64("node", F.lit(k))
-        lead = F.min_by(F.struct("node", *rest, *(["label"] if k else [])), order).alias("lead")
-        apart = (F.min("label") != F.max("label")) if k else F.lit(True)
-        keys = now.groupBy("key").agg(lead, F.count("*").alias("n"), apart.alias("apart")).where("n > 1 AND apart")
-        keys = written(keys, "keys")
-        n, squares = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()
+        lead = F.struct(order.alias("order"), "node", *rest, *(["label"] if k else []))
+        by = now.groupBy("key", *(["label"] if k else [])).agg(F.min(lead).alias("lead"), F.count("*").alias("n"))
+        if k:
+            by = by.groupBy("key").agg(F.min("lead").alias("lead"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels"))
+        keys = written(by.where("n > 1 AND labels > 1" if k else "n > 1"), "keys")
+        n, pairs_left = keys.agg(F.count("*"), F.coalesce(F.sum(F.expr("(n * n - same) / 2" if k else "n * n / 2")), F.lit(0))).first()
         if not n:
             dropped(keys)
             break
-        if k and (squares <= 2 * PAIRS_A_MEMBER * n or k == MAX_ROUNDS):
+        if k and (pairs_left <= PAIRS_A_MEMBER * total or k == MAX_ROUNDS):
             own = written(now.join(keys.select("key"), "key"), "open")
             other = own.select([F.col(c).alias(f"{c}_2") for c in own.columns])
             alike = (F.col("node") < F.col("node_2")) & (F.col("label") != F.col("label_2")) & may(F.col, lambda c: F.col(f"{c}_2"))
