@@ -1,21 +1,23 @@
 """N-gram Jaccard join: pairs of documents whose sets of word shingles overlap enough, as components.
 
-A T-occurrence search in two steps. Documents are read in blocks of some rows; a block keeps its sets as sorted
-shingle hashes with the rows that have them.
+A T-occurrence search in two steps. Each document has its set of shingles as sorted hashes; equal sets are one node.
 
-1. Shingles are dealt by hash and counted, and each block learns which of its shingles others have too, and how
+1. Shingles are dealt by hash and counted, and each block of documents learns which of its shingles others have too, and how
    often. Ordered by rarity, a set of n has a partner only if one of its n - T + 1 rarest shingles (T: the least
-   overlap that any partner needs) is shared: these are the short lists of the search, the T - 1 longest lists
-   are left aside. Documents that share a short list are joined to candidate groups. Most documents have none.
-2. The sets of each candidate group meet in tasks of bounded size (large groups are cut into blocks, each pair
-   of blocks a task). There, DivideSkip: for each set, its short inverted lists are merged with a threshold, and
-   what passes is looked up in its longest lists by binary search. What reaches the overlap is a link.
-
-Exact for any data, except that shingles are compared by 48-bit and whole sets by 64-bit hashes.
+   overlap that any partner needs) is shared: these are the short lists of the search, its keys; the T - 1 longest lists are left
+   aside. Of two sets with a key in common, the sizes and the places of the key in both say whether they can overlap enough.
+2. Candidates are searched star by star (links.py): a task has a query set and some of its candidates. There, DivideSkip: of the
+   candidates' inverted lists, the short ones are merged by a heap, and what occurs there often enough is looked up in the
+   longest ones by binary search. What reaches the overlap is a link.
+
+No candidate groups are formed before pairs are verified: chains of documents that share rare shingles cost a search a document. Exact for
+any data, except that shingles are told apart by 48 bits (while they are counted by 38 or more, which can only add candidates) and whole sets by 128.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +27,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, prepare, small, texts, written
-from .graph import components, forest
+from .common import dropped, flagged, fresh, prepare, slices, texts, written
+from .links import linked
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Shingles that one task of step 1 counts, about; sets that one side of a task of step 2 holds, about.
-COUNTED, BLOCK = 1 << 19, 800
+#: Shingles that one task of step 1 counts, about; sets that one task of step 2 searches, and bytes of them that it holds, about.
+COUNTED, BLOCK, HELD = 1 << 19, 500, 32 << 20
+#: Occurrences in a block up to which a shingle is dealt with its rows; of others only their number is dealt, and their rows stay with the block.
+FREQUENT = 4
+_STAY = 0xFFFF
 _P = np.uint64(0x9E3779B97F4A7C15)
 _LOCAL = 1 << 12  # rows of a block fit into it
+#: Text of a block, about.
+STEP_BYTES = 8 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -81,98 +88,130 @@ def shingle_sets(values: list[bytes | None], size: int = WORDS) -> tuple[np.ndar
 
 
 def signatures(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit hash of each row's set."""
+    """128 bits of hash of each row's set, as two columns."""
     n = np.bincount(row, minlength=rows).astype(np.uint64)
-    total = np.zeros(rows, np.uint64)
-    if len(h):
-        starts = np.flatnonzero(np.diff(row, prepend=-1))
-        total[row[starts]] = np.add.reduceat(_mixed(h + _P), starts)
-    return _mixed(total + n * _P).view(np.int64)
-
-
-_BLOCKS = pa.schema(
-    [
-        ("block", pa.int64()),
-        ("doc_ids", pa.list_(pa.int64())),
-        ("sizes", pa.list_(pa.int64())),
-        ("signatures", pa.list_(pa.int64())),
-        ("high", pa.binary()),
-        ("low", pa.binary()),
-        ("rows", pa.binary()),
-    ]
-)
-_BLOCKS_SQL = "block bigint, doc_ids array<bigint>, sizes array<bigint>, signatures array<bigint>, high binary, low binary, rows binary"
-
-
-def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = np.zeros((rows, 2), np.int64)
+    for k, seed in enumerate((_P, np.uint64(0x2545F4914F6CDD1D))):
+        total = np.zeros(rows, np.uint64)
+        if len(h):
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            total[row[starts]] = np.add.reduceat(_mixed(h + seed), starts)
+        out[:, k] = _mixed(total + n * _P).view(np.int64)
+    return out
+
+
+def _packed(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.zeros((len(data) // 6, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return raw.reshape(-1).view("<u8")
+
+
+_SETS = "node bigint, doc_id bigint, n bigint, signature bigint, second bigint, shingles binary"
+
+
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    for k, batch in enumerate(batches):
+    k = 0
+    for batch in slices(batches, "text", STEP_BYTES):
         values = [x.to_pybytes() if (x := v.as_buffer()) is not None else None for v in batch.column("text")]
         row, h = shingle_sets(values)
         sig = signatures(row, h, len(values))
-        _, first = np.unique(sig, return_index=True)  # equal sets of a block are listed once
-        listed = np.zeros(len(values), bool)
-        listed[first] = True
-        row_of, h_of = row[listed[row]], h[listed[row]]
-        order = np.argsort(h_of, kind="stable")
-        row_of, h_of = row_of[order], h_of[order]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([part << 24 | k], pa.int64()),
-                pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                pa.array([np.bincount(row, minlength=len(values)).tolist()], pa.list_(pa.int64())),
-                pa.array([sig.tolist()], pa.list_(pa.int64())),
-                pa.array([(h_of >> np.uint64(32)).astype("<u2").tobytes()], pa.binary()),
-                pa.array([h_of.astype("<u4").tobytes()], pa.binary()),
-                pa.array([row_of.astype("<u2").tobytes()], pa.binary()),
-            ],
-            schema=_BLOCKS,
-        )
+        n = np.bincount(row, minlength=len(values))
+        at, data = (6 * (np.cumsum(n) - n)).tolist(), _packed(h)
+        columns = {
+            "node": (part << 24 | k) * _LOCAL + np.arange(len(values)), "doc_id": batch.column("doc_id"), "n": n, "signature": sig[:, 0], "second": sig[:, 1],
+            "shingles": pa.array([data[a : a + 6 * m] for a, m in zip(at, n.tolist())], pa.binary()),
+        }
+        yield pa.RecordBatch.from_pydict(columns)
+        k += 1
 
 
 def _parts_of(bits: int):
-    """Cuts each block's list into 2**bits parts by the leading bits of the hashes; no part splits a shingle."""
+    """Cuts each block's list into 2**bits parts by the leading bits of the hashes; no part splits a shingle.
+
+    A part's row: low, the shingles; rows, the block's rows that have them. more: how many rows a shingle has, of those (marked _STAY)
+    that have too many to be dealt. Their rows go to a part of the block's own, where more is the part that the shingle is of.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, high, low, rows in zip(*(batch.column(c).to_pylist() for c in ("block", "high", "low", "rows"))):
-                h = np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32) | np.frombuffer(low, "<u4")
-                at = np.searchsorted(h >> np.uint64(48 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
-                filled = [p for p in range(1 << bits) if at[p] < at[p + 1]]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array(filled, pa.int32()),
-                        "block": pa.array([block] * len(filled), pa.int64()),
-                        "low": pa.array([low[4 * at[p] : 4 * at[p + 1]] for p in filled], pa.binary()),
-                        "rows": pa.array([rows[2 * at[p] : 2 * at[p + 1]] for p in filled], pa.binary()),
-                    }
-                )
+            nodes = batch.column("node").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(nodes // _LOCAL)) + 1).tolist(), len(nodes)]
+            for a, b in zip(edges, edges[1:]):
+                out = {k: [] for k in ("part", "block", "low", "rows", "more")}
+                block, local = int(nodes[a]) // _LOCAL, nodes[a:b] % _LOCAL
+                _, first = np.unique(batch.column("signature").to_numpy()[a:b], return_index=True)  # equal sets of a block are listed once
+                data = batch.column("shingles").slice(a, b - a).take(pa.array(np.sort(first))).to_pylist()
+                local = local[np.sort(first)]
+                h, row = _unpacked(b"".join(data)), np.repeat(local, [len(x) // 6 for x in data]).astype("<u2")
+                order = np.argsort(h, kind="stable")
+                h, row = h[order], row[order]
+                starts = np.flatnonzero(np.diff(h, prepend=np.uint64(2**64 - 1)) != 0) if len(h) else np.zeros(0, np.int64)
+                count = np.diff(np.append(starts, len(h)))
+                many = np.repeat(count > FREQUENT, count)
+                staying = many.copy()
+                staying[starts] = False  # one entry of each stays with its number
+                own, low, part = np.where(many, _STAY, row).astype("<u2")[~staying], h.astype("<u4")[~staying], (h >> np.uint64(48 - bits)).astype(np.int64)[~staying]
+                number = np.repeat(count, count)[~staying].astype("<u2")
+                at = np.searchsorted(part, np.arange((1 << bits) + 1)).tolist()
+                for p in range(1 << bits):
+                    i, j = at[p], at[p + 1]
+                    if i < j:
+                        for c, x in zip(out.values(), (p, block, low[i:j].tobytes(), own[i:j].tobytes(), number[i:j][own[i:j] == _STAY].tobytes())):
+                            c.append(x)
+                if many.any():
+                    own_part = (1 << bits) + block % (1 << bits)
+                    which = (h[many] >> np.uint64(48 - bits)).astype("<u4").tobytes()
+                    for c, x in zip(out.values(), (own_part, block, h[many].astype("<u4").tobytes(), row[many].tobytes(), which)):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=list(out))
 
     return cut
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one part, what occurs more than once: for each block its rows, with the shingle and its frequency."""
-    blocks, lows, rows = (table.column(c).to_pylist() for c in ("block", "low", "rows"))
-    part = table.column("part")[0].as_py()
-    n = np.array([len(x) // 4 for x in lows], np.int64)
-    low, row = np.frombuffer(b"".join(lows), "<u4"), np.frombuffer(b"".join(rows), "<u2")
-    _, inverse, count = np.unique(low, return_inverse=True, return_counts=True)
-    df = count[inverse]
-    kept = df > 1
-    of = np.repeat(np.arange(len(n)), n)[kept]
-    low, row, df = low[kept], row[kept], np.minimum(df[kept], 2**32 - 1).astype("<u4")
-    at = np.searchsorted(of, np.arange(len(n) + 1)).tolist()
-    filled = [i for i in range(len(n)) if at[i] < at[i + 1]]
-    return pa.table(
-        {
-            "block": pa.array([blocks[i] for i in filled], pa.int64()),
-            "part": pa.array([part] * len(filled), pa.int32()),
-            "low": pa.array([low[at[i] : at[i + 1]].tobytes() for i in filled], pa.binary()),
-            "rows": pa.array([row[at[i] : at[i + 1]].tobytes() for i in filled], pa.binary()),
-            "df": pa.array([df[at[i] : at[i + 1]].tobytes() for i in filled], pa.binary()),
-        }
-    )
+_SHARED = ("block", "part", "low", "rows", "df", "more")
+
+
+def _shared_of(bits: int):
+    def shared(table: pa.Table) -> pa.Table:
+        """Of one part, what occurs more than once: for each block its rows, with the shingle and its frequency."""
+        blocks, lows, rows, more = (table.column(c).to_pylist() for c in ("block", "low", "rows", "more"))
+        part = table.column("part")[0].as_py()
+        if part >= 1 << bits:  # of blocks: it only passes through
+            return pa.table([pa.array(c, t) for c, t in zip((blocks, [None] * len(blocks), lows, rows, [None] * len(blocks), more), _KINDS)], names=_SHARED)
+        n = np.array([len(x) // 4 for x in lows], np.int64)
+        low, row = np.frombuffer(b"".join(lows), "<u4"), np.frombuffer(b"".join(rows), "<u2")
+        number = np.ones(len(low), np.int64)
+        number[row == _STAY] = np.frombuffer(b"".join(more), "<u2")
+        _, inverse = np.unique(low, return_inverse=True)
+        df = np.bincount(inverse, weights=number).astype(np.int64)[inverse] if len(low) else number
+        kept = df > 1
+        of = np.repeat(np.arange(len(n)), n)[kept]
+        low, row, df = low[kept], row[kept], np.minimum(df[kept], 2**32 - 1).astype("<u4")
+        at = np.searchsorted(of, np.arange(len(n) + 1)).tolist()
+        filled = [i for i in range(len(n)) if at[i] < at[i + 1]]
+        columns = ([blocks[i] for i in filled], [part] * len(filled), *([x[at[i] : at[i + 1]].tobytes() for i in filled] for x in (low, row, df)), [None] * len(filled))
+        return pa.table([pa.array(c, t) for c, t in zip(columns, _KINDS)], names=_SHARED)
+
+    return shared
+
+
+_KINDS = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sizes of each block's sets, as a row like those of _shared_of, without part and df: rows and, as low, their sizes."""
+    for batch in batches:
+        nodes, n = batch.column("node").to_numpy(), batch.column("n").to_numpy().astype("<u4")
+        edges = [0, *(np.flatnonzero(np.diff(nodes // _LOCAL)) + 1).tolist(), len(nodes)] if len(nodes) else [0]
+        pieces = list(zip(edges, edges[1:]))
+        none = [None] * len(pieces)
+        columns = ([int(nodes[a]) // _LOCAL for a, _ in pieces], none, [n[a:b].tobytes() for a, b in pieces], [(nodes[a:b] % _LOCAL).astype("<u2").tobytes() for a, b in pieces], none, none)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS)], names=_SHARED)
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -181,210 +220,152 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
 
 
 def _short_lists(table: pa.Table) -> pa.Table:
-    """Of one block, the short lists that its sets are in: (key, node), and (node, other) for a key within the block.
-
-    Of a key only one node goes on; the block's other nodes with that key are hung on it here.
-    """
+    """Of one block, the short lists that its sets are in, as (key, node, size, room); room: the set's shingles from the key on."""
     block = table.column("block")[0].as_py()
-    parts, lows, rows, dfs, sizes = (table.column(c).to_pylist() for c in ("part", "low", "rows", "df", "sizes"))
-    n = np.array(next(s for s in sizes if s is not None), np.int64)
-    have = [i for i, x in enumerate(lows) if x is not None]
-    low = np.concatenate([np.frombuffer(lows[i], "<u4") for i in have] or [np.zeros(0, "<u4")])
-    row = np.concatenate([np.frombuffer(rows[i], "<u2") for i in have] or [np.zeros(0, "<u2")]).astype(np.int64)
-    df = np.concatenate([np.frombuffer(dfs[i], "<u4") for i in have] or [np.zeros(0, "<u4")])
-    key = np.concatenate([np.full(len(lows[i]) // 4, parts[i], np.int64) for i in have] or [np.zeros(0, np.int64)]) << 32 | low
+    parts, lows, rows, dfs, more = (table.column(c).to_pylist() for c in _SHARED[1:])
+    joined = lambda c, kind, which: np.frombuffer(b"".join(c[i] for i in which), kind)
+    sizes = [i for i, p in enumerate(parts) if p is None and more[i] is None]
+    n = np.zeros(_LOCAL, np.int64)
+    n[joined(rows, "<u2", sizes)] = joined(lows, "<u4", sizes)
+    have, own = [i for i, p in enumerate(parts) if p is not None], [i for i, x in enumerate(more) if x is not None]
+    key = np.repeat(np.array([parts[i] for i in have], np.int64), [len(lows[i]) // 4 for i in have]) << 32 | joined(lows, "<u4", have)
+    row, df = joined(rows, "<u2", have), joined(dfs, "<u4", have)
+    # Shingles of many rows: each has one entry with its frequency, and its rows are here.
+    stay = row == _STAY
+    all_keys, all_df = key[stay], df[stay]
+    order = np.argsort(all_keys)
+    all_keys, all_df = all_keys[order], all_df[order]
+    held_key, held_row = joined(more, "<u4", own).astype(np.int64) << 32 | joined(lows, "<u4", own), joined(rows, "<u2", own)
+    if len(held_key):
+        at = np.minimum(np.searchsorted(all_keys, held_key), len(all_keys) - 1)
+        key, row, df = np.concatenate([key[~stay], held_key]), np.concatenate([row[~stay], held_row]), np.concatenate([df[~stay], all_df[at]])
+    row = row.astype(np.int64)
     order = np.lexsort((key, df, row))
     row, key = row[order], key[order]
-    k = np.bincount(row, minlength=len(n))
+    k = np.bincount(row, minlength=_LOCAL)
     rank = np.arange(len(row)) - (np.cumsum(k) - k)[row]
-    alone = (n - k)[row]  # shingles that nobody else has come first
-    kept = alone + rank < (n - least_overlap(n) + 1)[row]
-    key, node = key[kept], block * _LOCAL + row[kept]
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    head = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else node
-    pairs = np.unique(np.stack([node[~first], head[~first]], 1), axis=0) if (~first).any() else np.zeros((0, 2), np.int64)
-    return pa.table(
-        {
-            "key": pa.array(np.concatenate([key[first], np.zeros(len(pairs), np.int64)]), pa.int64(), mask=np.arange(first.sum() + len(pairs)) >= first.sum()),
-            "u": pa.array(np.concatenate([node[first], pairs[:, 0]]), pa.int64()),
-            "v": pa.array(np.concatenate([node[first], pairs[:, 1]]), pa.int64()),
-        }
-    )
-
-
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of a block's candidates, a row for each task that needs them."""
-    for batch in batches:
-        for b in batch.to_pylist():
-            h = np.frombuffer(b["high"], "<u2").astype(np.uint64) << np.uint64(32) | np.frombuffer(b["low"], "<u4")
-            row = np.frombuffer(b["rows"], "<u2")
-            wanted = np.zeros(len(b["sizes"]), bool)
-            wanted[[c["row"] for c in b["candidates"]]] = True
-            kept = wanted[row]
-            h, row = h[kept], row[kept]
-            order = np.argsort(row, kind="stable")
-            h, row = h[order], row[order]
-            out = {k: [] for k in ("component", "i", "j", "signature", "shingles")}
-            for c in b["candidates"]:
-                mine = h[np.searchsorted(row, c["row"]) : np.searchsorted(row, c["row"], "right")]
-                data = np.ascontiguousarray(mine.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                sig = b["signatures"][c["row"]]
-                own = sig % c["blocks"]
-                for other in range(c["blocks"]):
-                    for k, v in zip(out, (c["component"], min(own, other), max(own, other), sig, data)):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=_SETS)
-
-
-_SETS = pa.schema([("component", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("signature", pa.int64()), ("shingles", pa.binary())])
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return raw.reshape(-1).view("<u8")
+    place = (n - k)[row] + rank  # shingles that nobody else has come first
+    kept = place < (n - least_overlap(n) + 1)[row]
+    row, key, place = row[kept], key[kept], place[kept]
+    return pa.table({"key": pa.array(key, pa.int64()), "node": pa.array(block * _LOCAL + row), "size": pa.array(n[row]), "room": pa.array(n[row] - place)})
 
 
-def divide_skip(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The links (a, b), a after b in order of size, between sorted sets, by T-occurrence search.
+def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
+    """Which of the sets (sorted, not empty) overlap the query enough, by T-occurrence search.
 
-    Sets are taken by size; each looks among the smaller ones. Its inverted lists are ordered by length; with L of
-    the longest left aside, the others are merged, and the sets that occur there T - L times or more, T being
-    the overlap that a partner of the least size possible needs, are looked up in the long lists.
+    The inverted lists of the query's shingles are ordered by length. With T the overlap that the smallest set needs, the
+    T - 1 longest lists are left aside and the others merged by a heap; the sets that occur there are looked up in the
+    lists aside by binary search, until they have what they need or can't get it any more.
     """
-    n = np.array([len(s) for s in sets], np.int64)
-    by_size = np.argsort(n, kind="stable")
-    rank = np.empty(len(n), np.int64)
-    rank[by_size] = np.arange(len(n))
-    owner = np.repeat(rank, n)
-    universe, code = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.lexsort((owner, code))
-    postings = owner[order]
-    start = np.searchsorted(code[order], np.arange(len(universe) + 1))
-    length = np.diff(start)
-    ends = np.cumsum(n)
-    size = n[by_size]
-    found_a, found_b = [], []
-    for r in range(1, len(n)):
-        s = by_size[r]
-        terms = code[ends[s] - n[s] : ends[s]]
-        least = -(-PERCENT * int(n[s]) // 100)
-        first = int(np.searchsorted(size, least))  # smaller sets can't reach the overlap
-        if first >= r:
-            continue
-        terms = terms[length[terms] > 1]
-        # T for the smallest partner: 100 i >= PERCENT (n + m - i)
-        t = -(-PERCENT * (int(n[s]) + int(size[first])) // (100 + PERCENT))
-        if len(terms) < t:
-            continue
-        terms = terms[np.argsort(length[terms], kind="stable")]
-        aside = min(t - 1, len(terms) // 2)
-        short, long = terms[: len(terms) - aside], terms[len(terms) - aside :]
-        spans = length[short]
-        at = np.repeat(start[short] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
-        count = np.bincount(postings[at], minlength=r + 1)[:r]
-        count[:first] = 0
-        near = np.flatnonzero(count >= max(1, t - aside))
-        if not len(near):
-            continue
-        got = count[near]
-        need = -(-PERCENT * (int(n[s]) + size[near]) // (100 + PERCENT))
-        for k, term in enumerate(long):
-            lst = postings[start[term] : start[term + 1]]
-            p = np.searchsorted(lst, near)
-            got = got + (lst[np.minimum(p, len(lst) - 1)] == near)
-            if k & 15 == 15:  # what can't reach its overlap any more is dropped
-                alive = got + (len(long) - 1 - k) >= need
-                near, got, need = near[alive], got[alive], need[alive]
-                if not len(near):
-                    break
-        hit = near[got >= need]
-        found_a.append(np.full(len(hit), s))
-        found_b.append(by_size[hit])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by task (component, i, j): the links of each as a forest over signatures."""
-    key, sigs, sets = None, [], []
+    size = np.array([len(s) for s in sets], np.int64)
+    need = -(-PERCENT * (len(query) + size) // (100 + PERCENT))
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
+    hit = query[at] == flat
+    at, owner = at[hit], owner[hit]
+    order = np.argsort(at, kind="stable")
+    _, start = np.unique(at[order], return_index=True)
+    lists = sorted(np.split(owner[order], start[1:]), key=len) if len(at) else []
+    t = int(need.min())
+    if len(lists) < t:
+        return []
+    short, long = lists[: len(lists) - t + 1], lists[len(lists) - t + 1 :]
+    seen = Counter(heapq.merge(*(x.tolist() for x in short)))
+    near = np.array(sorted(seen), np.int64)
+    got, need = np.array([seen[x] for x in near.tolist()], np.int64), need[near]
+    for k, postings in enumerate(long):
+        p = np.minimum(np.searchsorted(postings, near), len(postings) - 1)
+        got = got + (postings[p] == near)
+        if k & 15 == 15:
+            alive = got + (len(long) - 1 - k) >= need
+            near, got, need = near[alive], got[alive], need[alive]
+            if not len(near):
+                break
+    return near[got >= need].tolist()
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (u, slice, node, data) in order: the nodes whose sets overlap that of u enough, which comes first."""
+    at, query, nodes, sets, held = None, None, [], [], 0
 
     def ended() -> Iterator[pa.RecordBatch]:
-        if len(sets) > 1:
-            a, b = divide_skip(sets)
-            if len(a):
-                s = np.array(sigs, np.int64)
-                u, v = forest(s[a], s[b])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        if sets and (hit := divide_skip(query, sets)):
+            yield pa.RecordBatch.from_arrays([pa.array([at] * len(hit), pa.int64()), pa.array([nodes[i] for i in hit], pa.int64())], names=["u", "v"])
 
     for batch in batches:
-        for c, i, j, sig, data in zip(*(batch.column(x).to_pylist() for x in ("component", "i", "j", "signature", "shingles"))):
-            if (c, i, j) != key:
+        for u, node, data in zip(batch.column("u").to_pylist(), batch.column("node").to_pylist(), batch.column("data")):
+            if u == node or held > HELD:
                 yield from ended()
-                key, sigs, sets = (c, i, j), [], []
-            if not sigs or sigs[-1] != sig:  # sorted by signature too: equal sets come together
-                sigs.append(sig)
-                sets.append(_unpacked(data))
+                nodes, sets, held = [], [], 0
+            if u == node:
+                at, query = u, _unpacked(data.as_buffer())
+            elif u == at:
+                nodes.append(node)
+                sets.append(_unpacked(data.as_buffer()))
+                held += 8 * len(sets[-1])
     yield from ended()
 
 
+def _may(a, b):
+    """Whether two sets with a key in common can overlap enough, by their sizes and by the shingles that each has from the key on."""
+    least, most, room = F.least(a("size"), b("size")), F.greatest(a("size"), b("size")), F.least(a("room"), b("room"))
+    return (100 * least >= PERCENT * most) & ((100 + PERCENT) * room >= PERCENT * (least + most))
+
+
 def cluster(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text).
 
     component_id: the smallest doc_id reachable by links, the row's own included. A text that is null or without
     words has n_shingles 0 and its own doc_id. Rows with equal sets are linked, repeated rows so too. A null
-    doc_id is never the smallest, unless all of its component are null. An empty table gives an empty table.
+    doc_id is never the smallest, unless all of its component are null. Texts of any length are taken whole. An empty table
+    gives an empty table.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), texts().alias("text"))
-    blocks = written(rows.mapInArrow(_read_blocks, _BLOCKS_SQL), "sets")
-    total = blocks.agg(F.sum(F.octet_length("low") / 4)).first()[0] or 0
-    bits = max(6, int(np.ceil(np.log2(max(1, total / COUNTED)))))
-
-    parts = blocks.mapInArrow(_parts_of(min(bits, 20)), "part int, block bigint, low binary, rows binary")
-    shared = parts.groupBy("part").applyInArrow(_shared, "block bigint, part int, low binary, rows binary, df binary")
-    shared = shared.withColumn("sizes", F.lit(None).cast("array<bigint>"))
-    sizes = blocks.select("block", *[F.lit(None).cast(t).alias(c) for c, t in (("part", "int"), ("low", "binary"), ("rows", "binary"), ("df", "binary"))], "sizes")
-    lists = written(shared.union(sizes).groupBy("block").applyInArrow(_short_lists, "key bigint, u bigint, v bigint"), "lists")
-
-    heads = written(lists.where("key IS NOT NULL").groupBy("key").agg(F.min("u").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
-    met = lists.where("key IS NOT NULL").join(heads, "key").select("u", F.col("head").alias("v"))
-    groups = components(met.union(lists.where("key IS NULL").select("u", "v")), "groups")
-    dropped(lists, heads)
-
-    tasks = written(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "tasks")
-    placed = written(groups.join(tasks, "component"), "placed")
-    wanted = placed.groupBy(F.expr(f"node div {_LOCAL}").alias("at")).agg(
-        F.collect_list(F.struct(F.expr(f"node % {_LOCAL}").alias("row"), "component", "blocks")).alias("candidates")  # a block's rows at most
-    )
-    wanted = written(wanted, "wanted")
-    sets = blocks.join(small(wanted, 20_000), F.col("block") == F.col("at")).drop("at")
-    sets = sets.mapInArrow(_sets_of, "component bigint, i bigint, j bigint, signature bigint, shingles binary")
-    sets = sets.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "signature")
-    linked = components(sets.mapInArrow(_links, "u bigint, v bigint"), "linked")
-    dropped(groups, tasks, placed, wanted)
-
-    members = blocks.select(F.explode(F.arrays_zip("doc_ids", "sizes", "signatures")).alias("m")).select(
-        F.col("m.doc_ids").alias("doc_id"), F.col("m.sizes").alias("n_shingles"), F.col("m.signatures").alias("signature")
-    )
-    members = written(members, "members")
-    dropped(blocks)
-    classes = members.where("n_shingles > 0").groupBy("signature").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    sets = written(rows.mapInArrow(_sets_of, _SETS), "sets")
+    bits = max(6, int(np.ceil(np.log2(max(1, (sets.agg(F.sum("n")).first()[0] or 0) / COUNTED)))))
+    same = ["signature", "second", "n"]
+    classes = sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min("node").alias("owner"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
-    inside = written(classes.join(linked, F.col("signature") == F.col("node")).select("signature", "component", "least"), "inside")
-    lowest = written(inside.groupBy("component").agg(F.min("least").alias("lowest")), "lowest")
-    named = inside.join(lowest, "component").select("signature", F.col("lowest").alias("component_id"))
-    copies = classes.where("n > 1").join(inside.select("signature"), "signature", "left_anti")
-    named = written(named.union(copies.select("signature", F.col("least").alias("component_id"))), "named")
-    dropped(inside, lowest, classes, linked)
-    found = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    return members.join(small(named), "signature", "left").select("doc_id", "n_shingles", F.coalesce(found, F.col("doc_id")).alias("component_id"))
+
+    parts = sets.where("n > 0").select("node", "signature", "shingles").mapInArrow(_parts_of(bits), "part int, block bigint, low binary, rows binary, more binary")
+    kind = "block bigint, part int, low binary, rows binary, df binary, more binary"
+    shared = parts.groupBy("part").applyInArrow(_shared_of(bits), kind)
+    sizes = sets.where("n > 0").select("node", "n").mapInArrow(_sizes_of, kind)
+    lists = shared.union(sizes).groupBy("block").applyInArrow(_short_lists, "key bigint, node bigint, size bigint, room bigint")
+    lists = written(lists, "lists")
+    # Of equal sets one is the node.
+    again = classes.where("copies > 1").select("owner", *[F.col(c).alias(f"of_{c}") for c in same])
+    again = sets.select("node", *same).join(again, [F.col(c) == F.col(f"of_{c}") for c in same]).where("node != owner").select(F.col("node").alias("again"))
+    lists_ = lists.join(again.hint("merge"), F.col("node") == F.col("again"), "left_anti")
+    met = lists_.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select(F.col("key").alias("of"))
+    members = written(lists_.join(met.hint("merge"), F.col("key") == F.col("of"), "left_semi"), "members")
+    dropped(lists)
+
+    wanted = written(members.select(F.col("node").alias("wanted")).distinct(), "wanted")
+    items = flagged(sets.select("node", F.col("shingles").alias("data")), F.col("node"), wanted, "may").where("may")
+    items = written(items.join(wanted.hint("merge"), F.col("node") == F.col("wanted")).select("node", "data"), "items")
+    labels = linked(members, items, _search, _may, BLOCK)
+    dropped(members, wanted, items)
+
+    inside = classes.join(labels, F.col("owner") == F.col("node")).select(*same, "component", "least")
+    inside = written(inside, "inside")
+    lowest = inside.groupBy("component").agg(F.min("least").alias("lowest"))
+    named = inside.join(lowest, "component").select(*same, F.col("lowest").alias("component_id"))
+    alone = classes.where("copies > 1").join(inside.select(*same), same, "left_anti").select(*same, F.col("least").alias("component_id"))
+    named = written(named.union(alone), "named")
+    members = written(sets.select("doc_id", *same), "documents")
+    dropped(inside, classes, labels, sets)
+    return members.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document is the first (smallest doc_id) of its component; of repeated rows all stay or go."""
+    """The rows of docs whose document is the first (smallest doc_id) of its component; of repeated rows all stay or go.
+
+    Rows without doc_id stay. Only rows that may go are shuffled.
+    """
     gone = written(cluster(docs).where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(small(gone), docs["doc_id"].cast("bigint") == gone["gone_id"], "left_anti")
+    name = fresh(docs, "_may")
+    may = flagged(docs, F.col("doc_id"), gone, name)
+    left = may.where(name).join(gone.hint("merge"), F.col("doc_id").cast("bigint") == F.col("gone_id"), "left_anti")
+    return may.where(f"NOT {name}").union(left).drop(name)
