@@ -50,7 +50,8 @@ def test_edges(spark):
 def test_a_large_test_set_is_searched_in_rounds(spark, sf_dir, monkeypatch):
     rows = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     items = [tuple(r) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
-    monkeypatch.setattr(D, "ROUND_BYTES", sum(len(t.encode()) for _, t in items) // 3)
+    monkeypatch.setattr(D, "ROUND_WORDS", sum(len(D.words(t.encode())) for _, t in items) // 3)
+    monkeypatch.setattr(D, "STEP", 100)
     assert run(spark, rows, items) == brute(rows, items)
 
 
