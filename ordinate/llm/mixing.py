@@ -8,24 +8,22 @@ that would exceed 1 is taken whole, and the constant raised for the others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, fresh, small, written
 
 #: Attributes and how much of the difference between their categories' shares the targets keep: share ** power.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-#: Rounds of fitting, each over all attributes; rounds of raising the constant for cells that are taken whole.
-SWEEPS, RAISES = 20, 8
+#: Fitting ends when no marginal is off its target by more; rounds, each over all attributes, after which a warning says that it has not.
+TOLERANCE, SWEEPS = 1e-9, 200
 #: Share of the tokens that the sample has, in expectation.
 SHARE = 0.6
 SEED = 11
 #: Name of a null category.
 NONE = "(none)"
-#: Cells that are fitted in one task at most; more are dealt out for each attribute.
-ONE_TASK = 50_000
-_SWEEPS_A_TABLE = 5
-
 #: Topics by what a text has: the first that applies counts.
 TOPICS = (
     ("license", ("Licensed under", "All rights reserved", "Copyright")),
@@ -62,42 +60,64 @@ def fitted(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[st
     """cells with weight: token shares raked to the targets, a written table.
 
     targets: for an attribute, a table (its name, target) with a row for each category; without it, the target of a
-    category is its token share to the attribute's power, scaled to sum 1. Categories without a target get 0.
+    category is its token share to the attribute's power, scaled to sum 1. Categories without a target get 0. A round scales to
+    each attribute in turn, by grouped sums; rounds go on until no marginal is off its target by more than TOLERANCE (where targets
+    contradict each other or have categories without cells, until none changes by more). A warning says that SWEEPS rounds have not done it.
     """
-    one = cells.limit(ONE_TASK + 1).count() <= ONE_TASK
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    now = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(1, total))))
+    total = float(max(1, cells.agg(F.sum("tokens")).first()[0] or 0))
+    wanted = {}
     for k, power in powers.items():
         if targets and k in targets:
-            given = targets[k].select(F.col(k).alias("_category"), F.col("target").cast("double").alias(f"_target_{k}"))
-            now = now.join(small(given), F.col(k) == F.col("_category"), "left").drop("_category").fillna(0.0, [f"_target_{k}"])
+            wanted[k] = targets[k].select(F.col(k), F.col("target").cast("double").alias("target"))
         else:
-            raised = F.pow(F.sum("tokens").over(Window.partitionBy(k)) / F.lit(float(max(1, total))), F.lit(power))
-            now = now.withColumn(f"_target_{k}", raised)
-    now = written(now, "cells")
-    for k in powers:
-        if not (targets and k in targets):
-            sums = now.groupBy(k).agg(F.first(f"_target_{k}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
-            now = now.withColumn(f"_target_{k}", F.col(f"_target_{k}") / F.lit(sums))
-    for first in range(0, SWEEPS, _SWEEPS_A_TABLE):
-        step = now.coalesce(1) if one else now
-        for _ in range(min(_SWEEPS_A_TABLE, SWEEPS - first)):
-            for k in powers:
-                step = step.withColumn("weight", F.try_divide(F.col("weight") * F.col(f"_target_{k}"), F.sum("weight").over(Window.partitionBy(k))))
-                step = step.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-        now = written(step, "cells")
-    return now.drop(*[f"_target_{k}" for k in powers])
+            raised = cells.groupBy(k).agg(F.pow(F.sum("tokens") / F.lit(total), F.lit(power)).alias("target"))
+            sums = raised.agg(F.sum("target")).first()[0] or 1.0
+            wanted[k] = raised.withColumn("target", F.col("target") / F.lit(sums))
+        wanted[k] = written(wanted[k], "targets")
+    now = written(cells.withColumn("weight", F.col("tokens") / F.lit(total)), "cells")
+    off = None
+    for _ in range(SWEEPS):
+        step = now
+        for k in powers:
+            sums = step.groupBy(k).agg(F.sum("weight").alias("sum")).join(wanted[k], k, "left")
+            factor = sums.select(F.col(k).alias("_category"), F.coalesce(F.try_divide("target", "sum"), F.lit(0.0)).alias("_factor"))
+            step = step.join(factor, F.col(k) == F.col("_category")).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_category", "_factor")
+        following = written(step, "cells")
+        last, off = off, _gaps(following, wanted)
+        dropped(now)
+        now = following
+        if max(off.values(), default=0.0) <= TOLERANCE or (last and all(abs(off[k] - last[k]) <= TOLERANCE / 100 for k in off)):
+            break
+    else:
+        warnings.warn(f"marginals are off their targets by up to {max(off.values())} after {SWEEPS} rounds", stacklevel=2)
+    dropped(*wanted.values())
+    return now
+
+
+def _gaps(cells: DataFrame, wanted: dict[str, DataFrame]) -> dict[str, float]:
+    """How far the marginals of each attribute are off their targets, at most."""
+    gaps = None
+    for k, target in wanted.items():
+        sums = cells.groupBy(k).agg(F.sum("weight").alias("sum")).join(target, k, "left")
+        one = sums.select(F.lit(k).alias("attribute"), F.abs(F.col("sum") - F.coalesce("target", F.lit(0.0))).alias("gap"))
+        gaps = one if gaps is None else gaps.union(one)
+    found = {r.attribute: r.gap for r in gaps.groupBy("attribute").agg(F.max("gap").alias("gap")).collect()}
+    return {k: found.get(k) or 0.0 for k in wanted}
 
 
 def calibrated(weights: DataFrame, share: float = SHARE) -> DataFrame:
-    """weights(tokens, weight) with probability; the expected tokens are share of all, or what cells with weight have."""
+    """weights(tokens, weight) with probability; the expected tokens are share of all, or what cells with weight have.
+
+    The constant is raised until no further cell is taken whole.
+    """
     wanted = share * (weights.agg(F.sum("tokens")).first()[0] or 0)
-    constant = wanted / (weights.agg(F.sum("weight")).first()[0] or 1.0)
-    for _ in range(RAISES):
+    constant, taken = wanted / (weights.agg(F.sum("weight")).first()[0] or 1.0), None
+    while True:
         whole = F.col("tokens") <= F.lit(constant) * F.col("weight")
-        r = weights.agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)).alias("t"), F.sum(F.when(~whole, F.col("weight")).otherwise(0.0)).alias("w")).first()
-        if r.w:
-            constant = max(0.0, wanted - r.t) / r.w
+        r = weights.agg(F.count_if(whole).alias("n"), F.sum(F.when(whole, F.col("tokens")).otherwise(0)).alias("t"), F.sum(F.when(~whole, F.col("weight")).otherwise(0.0)).alias("w")).first()
+        if r.n == taken or not r.w:
+            break
+        constant, taken = max(0.0, wanted - r.t) / r.w, r.n
     return weights.withColumn("probability", F.least(F.lit(1.0), F.lit(float(constant)) * F.col("weight") / F.col("tokens")))
 
 
@@ -112,7 +132,7 @@ def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str,
 
     These replace columns of their names. Null sources, languages and ids are categories and an id of their own.
     Texts that are null or without words have no weight and are never sampled. Rows of one doc_id have the same
-    chance, so that repeated rows stay or go together. An empty table stays empty.
+    chance, so that repeated rows stay or go together. Texts of any length are counted whole. An empty table stays empty.
     """
     text = F.col("text").cast("string")
     attributes = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.coalesce(text, F.lit("")))}

@@ -44,7 +44,8 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    return urls.judged(pages, urls.hosts_with(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"))
 
 
+#: Rounds of raking and of raising the constant in SQL, which has no loop: more than the operator needs.
+_SWEEPS, _RAISES = 40, 12
+
+
 def _mixing_sql() -> str:
     """The same raking, its rounds written out."""
     topic = "CASE " + " ".join(
@@ -70,18 +75,18 @@ def _mixing_sql() -> str:
     joins = " ".join(f"JOIN t_{k} USING ({k})" for k in attributes)
     ctes.append(f"w0 AS (SELECT *, tokens / CAST((SELECT sum(tokens) FROM c) AS DOUBLE) AS weight FROM c {joins})")
     n = 0
-    for _ in range(mixing.SWEEPS):
+    for _ in range(_SWEEPS):
         for k in attributes:
             ctes.append(f"w{n + 1} AS (SELECT * REPLACE (coalesce(weight * t_{k} / nullif(sum(weight) OVER (PARTITION BY {k}), 0), 0) AS weight) FROM w{n})")
             n += 1
     ctes.append(f"w AS MATERIALIZED (SELECT source, lang, topic, tokens, weight FROM w{n})")
     ctes.append(f"k0 AS MATERIALIZED (SELECT {mixing.SHARE} * sum(tokens) AS wanted, {mixing.SHARE} * sum(tokens) / sum(weight) AS k FROM w)")
-    for i in range(mixing.RAISES):
+    for i in range(_RAISES):
         ctes.append(f"""k{i + 1} AS MATERIALIZED (SELECT any_value(wanted) AS wanted,
   CASE WHEN sum(CASE WHEN tokens <= k * weight THEN 0 ELSE weight END) > 0
        THEN greatest(0, any_value(wanted) - sum(CASE WHEN tokens <= k * weight THEN tokens ELSE 0 END))
             / sum(CASE WHEN tokens <= k * weight THEN 0 ELSE weight END) ELSE any_value(k) END AS k FROM w, k{i})""")
-    ctes.append(f"p AS (SELECT source, lang, topic, least(1, k * weight / tokens) AS probability FROM w, k{mixing.RAISES})")
+    ctes.append(f"p AS (SELECT source, lang, topic, least(1, k * weight / tokens) AS probability FROM w, k{_RAISES})")
     return f"""WITH {", ".join(ctes)}
 SELECT doc_id, d.source, d.lang, d.topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(probability, 6) AS probability
 FROM d JOIN p ON coalesce(d.source, '(none)') = p.source AND coalesce(d.lang, '(none)') = p.lang AND d.topic = p.topic

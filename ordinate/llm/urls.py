@@ -2,7 +2,8 @@
 
 The first filter encodes the listed hosts. Its false positives over all hosts of the corpus are encoded by a
 second, the listed hosts that pass the second by a third, and so on until a level has no false positives left:
-over these hosts, membership is then exact, and a lookup reads bits, without a join. DataFrame functions only.
+over these hosts, membership is then exact, and a lookup reads bits, without a join. A longer list makes more cascades, each of the
+keys of one hash class, so that no filter grows beyond MAX_BITS. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import dropped, written
 
 #: Rules as (verdict, host, path): for the host and its subdomains, if the path starts with the rule's.
 RULES = (
@@ -23,10 +24,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: A host is listed if one of its labels is one of these.
+#: The query's list of hosts: those of the corpus with one of these labels.
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-#: Bits of one filter at most, 32 MB: they go to every executor. A longer list is looked up by a join.
-MAX_BITS = 1 << 28
+#: Bits of one filter at most, about, 4 MB. All filters go to every executor: about 7 bits for each listed key.
+MAX_BITS = 1 << 25
 MAX_LEVELS = 64
 #: False positives of a level, at most: each level is a Spark job, so few large ones are cheaper than many small ones.
 RATE = 0.1
@@ -52,9 +53,10 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def listed_host(host: Column) -> Column:
-    """Whether the host has a listed label."""
-    return F.arrays_overlap(F.split(host, r"\."), F.array(*[F.lit(x) for x in LISTED_LABELS]))
+def hosts_with(pages: DataFrame, labels=LISTED_LABELS, url: str = "url") -> DataFrame:
+    """(host): the hosts of pages that have one of the labels, as an example of a list."""
+    hosts = pages.select(host_of(F.col(url)).alias("host")).distinct()
+    return hosts.where(F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in labels])))
 
 
 class Level:
@@ -64,8 +66,6 @@ class Level:
         self.size = -(-math.ceil(max(1, n) * -math.log(rate) / math.log(2) ** 2) // 64) * 64
         self.hashes, self.seed = max(1, round(self.size / max(1, n) * math.log(2))), seed
         spark = keys.sparkSession
-        if self.size > MAX_BITS:
-            raise OverflowError(self.size)
         bits = keys.select(F.explode(F.array(*self._positions(F.col("key")))).alias("p"))
         bits = bits.groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
         every = spark.range(self.size // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
@@ -91,45 +91,54 @@ class Cascade:
     """
 
     def __init__(self, universe: DataFrame) -> None:
-        self.levels: list[Level] = []
         universe = written(universe.select("key", "listed"), "universe")
-        inside, outside = universe.where("listed").select("key"), universe.where("NOT listed").select("key")
-        n, others = inside.count(), outside.count()
-        rate = min(RATE, max(1e-6, math.sqrt(0.5) * n / max(1, others)))
+        n, others = (universe.agg(F.coalesce(F.count_if(x), F.lit(0))).first()[0] for x in (F.col("listed"), ~F.col("listed")))
+        self.rate = min(RATE, max(1e-6, math.sqrt(0.5) * n / max(1, others)))
+        bits = n * -math.log(self.rate) / math.log(2) ** 2
+        self.classes = max(1, math.ceil(bits / MAX_BITS))
+        self.levels = [self._levels(universe.where(self._class(F.col("key")) == i)) for i in range(self.classes)]
+        dropped(universe)
+
+    def _class(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.classes))
+
+    def _levels(self, universe: DataFrame) -> list[Level]:
+        inside, outside, levels = universe.where("listed").select("key"), universe.where("NOT listed").select("key"), []
+        n, rate, left = inside.count(), self.rate, []
         while n:
-            if len(self.levels) == MAX_LEVELS:
+            if len(levels) == MAX_LEVELS:
                 raise RuntimeError("the cascade did not end")
-            self.levels.append(Level(inside, n, rate, len(self.levels) + 1))
-            inside, outside = written(outside.where(self.levels[-1].passes(F.col("key"))), "passed"), inside
+            levels.append(Level(inside, n, rate, len(levels) + 1))
+            inside, outside = written(outside.where(levels[-1].passes(F.col("key"))), "passed"), inside
+            left.append(inside)
             n, rate = inside.count(), RATE
+        dropped(*left)
+        return levels
 
     def contains(self, key: Column) -> Column:
-        found = F.lit(False)
-        for k, level in reversed(list(enumerate(self.levels))):
-            found = level.passes(key) & ~found if k < len(self.levels) - 1 else level.passes(key)
-        return found
+        out = F.lit(False)
+        for i, levels in enumerate(self.levels):
+            found = F.lit(False)
+            for k, level in reversed(list(enumerate(levels))):
+                found = level.passes(key) & ~found if k < len(levels) - 1 else level.passes(key)
+            out = F.when(self._class(key) == i, found).otherwise(out) if self.classes > 1 else found
+        return out
 
 
-def judged(pages: DataFrame, url: str = "url", rules=RULES, listed=listed_host) -> DataFrame:
+def judged(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """pages with host, path, rule and verdict, which replace columns of these names.
 
-    verdict is that of the longest fitting rule; without one it is block if the host is listed, else allow. Null
-    urls and those without :// have an empty host and path and are not listed. Repeated rows are judged alike, an
-    empty table stays empty.
+    listed: a table whose one column has the listed hosts, in any order; repeats and nulls in it do nothing. verdict is that of
+    the longest fitting rule; without one it is block if the host is listed, else allow. Null
+    urls and those without :// have an empty host and path, listed if the empty host is. Repeated rows are judged alike, urls
+    of any length are read whole, an empty table stays empty.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    universe = pages.select(host.alias("key")).distinct().select("key", F.coalesce(listed(F.col("key")), F.lit(False)).alias("listed"))
+    keys = listed.select(F.col(listed.columns[0]).alias("key"), F.lit(True).alias("listed")).where("key IS NOT NULL")
+    hosts = pages.select(host.alias("key"), F.lit(False).alias("listed"))
+    universe = hosts.union(keys).groupBy("key").agg(F.max("listed").alias("listed"))
     parsed = pages.withColumns({"host": host, "path": path})
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    try:
-        inside = Cascade(universe).contains(F.col("host"))
-    except OverflowError:
-        name = fresh(pages, "_listed")
-        keys = universe.where("listed").select(F.col("key").alias(name))
-        parsed = parsed.join(keys, F.col("host") == F.col(name), "left")
-        inside = F.col(name).isNotNull()
-    method = F.when(inside, "block").otherwise("allow")
+    method = F.when(Cascade(universe).contains(F.col("host")), "block").otherwise("allow")
     out = parsed.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)})
     return out.select(*[c for c in out.columns if c in pages.columns or c in ("host", "path", "rule", "verdict")])
-
-
