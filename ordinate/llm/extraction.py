@@ -1,14 +1,15 @@
 """HTML extraction with a tree-structured graphical model.
 
 The blocks of a page are the nodes of a tree. Each node is content or not; its own potential comes from its tag,
-its names, and the length and links of its text, and the potential of an edge says how likely a parent in one
-state has a child in the other. Both are counted on labelled pages. Sum-product messages pass upward from the
+its names, the length and links of its text, and the share of the page's text and the links below it, and the potential of an
+edge says how likely a parent in one state has a child in the other. Both are counted on labelled pages. Sum-product messages pass upward from the
 leaves and downward from the root, which gives each block's marginal; blocks of a marginal of THRESHOLD or more
 are the page's text.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import random
@@ -34,11 +35,19 @@ BLOCKS = frozenset(
     "tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template textarea select button iframe svg math object canvas audio video option datalist".split())
+SKIPPED = frozenset("script style template textarea select datalist button iframe svg".split())
+TO_THE_END = frozenset("script style".split())
+# Elements that end open ones of these kinds, as far as they are not outside one of those.
+ENDS = {
+    "li": ("li", "ul ol menu"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"),
+    "tbody": ("thead tbody tfoot", "table"), "tfoot": ("thead tbody tfoot", "table"), "thead": ("thead tbody tfoot", "table"),
+}
 SPACED = frozenset("br img input label wbr".split())
 CLOSES_P = BLOCKS - frozenset("html head body title".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
+# A quoted value ends at a quote that is followed by what may follow a value, and holds no markup; any other quote is a character like others.
+_QUOTED = r"\"[^\"<]*\"(?=[\s/>])|'[^'<]*'(?=[\s/>])"
+_TAG = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:{_QUOTED}|[^>])*)(>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _NAME = re.compile(r"[a-z]+")
 
@@ -55,27 +64,61 @@ class Node:
     label: int | None = None
     texts: list[tuple[int, str]] = field(default_factory=list)
     linked: int = 0
+    share: float = 0.0
+    links: float = 0.0
+
+
+class _Open:
+    """The open blocks, inner ones last; the innermost of a kind is found without a walk."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags, self.at = [0], ["html"], {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """The depth of the innermost of the tags, 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def cut(self, depth: int) -> None:
+        while len(self.tags) > depth:
+            self.at[self.tags.pop()].pop()
+            self.nodes.pop()
+
+
+_ENDS = {k: (tuple(a.split()), tuple(b.split())) for k, (a, b) in ENDS.items()}
 
 
 def parse(page: str) -> list[Node]:
     """The blocks of a page, parents before children; node 0 is the root. Broken and cut-off markup is taken as it comes."""
     nodes = [Node("html", -1)]
-    stack = [(0, "html")]  # open elements that are blocks, inner ones last
+    stack = _Open()
     pieces: list[str] = []
     order, at, anchors, end = 0, 0, 0, len(page)
+    closed: dict[str, list[int]] = {}
 
     def flush() -> None:
         nonlocal order
         if pieces:
             if text := " ".join(entities.unescape("".join(pieces)).split()):
-                nodes[stack[-1][0]].texts.append((order, text))
+                nodes[stack.nodes[-1]].texts.append((order, text))
                 order += 1
             pieces.clear()
 
     def add(text: str) -> None:
         pieces.append(text)
         if anchors:
-            nodes[stack[-1][0]].linked += len(text)
+            nodes[stack.nodes[-1]].linked += len(text)
+
+    def end_of(name: str, start: int) -> int | None:
+        """The end of the next closing tag of name; the page is searched once for each name."""
+        if name not in closed:
+            closed[name] = [m.end() for m in re.finditer(rf"</{name}\s*>", page, re.I)]
+        k = bisect.bisect_right(closed[name], start)
+        return closed[name][k] if k < len(closed[name]) else None
 
     for m in _TAG.finditer(page):
         if m.start() < at:
@@ -89,10 +132,10 @@ def parse(page: str) -> list[Node]:
         if not m[4]:  # cut off within the tag
             at = end
             break
-        if name in SILENT:
+        if name in SKIPPED:
             if not closing and not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
+                close = end_of(name, at)
+                at = close if close is not None else end if name in TO_THE_END else at
             pieces.append(" ")
         elif name == "a":
             anchors = 0 if closing else 1
@@ -100,40 +143,48 @@ def parse(page: str) -> list[Node]:
             if name in SPACED:
                 pieces.append(" ")
         elif closing:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == name), 0)
             flush()
-            if depth:
-                del stack[depth:]
+            if depth := stack.last((name,)):
+                stack.cut(depth)
         else:
             flush()
             anchors = 0
-            if name in CLOSES_P and (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == "p"), 0)):
-                del stack[k:]
-            for same, within in (("li", ("ul", "ol", "menu")), ("tr", ("table",)), ("td", ("tr",)), ("th", ("tr",)), ("dd", ("dl",)), ("dt", ("dl",))):
-                if name == same:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][1] in within:
-                            break
-                        if stack[k][1] in (same, "td", "th", "dd", "dt") and name in (same, "td", "th", "dd", "dt"):
-                            del stack[k:]
-                            break
+            if name in CLOSES_P and (depth := stack.last(("p",))):
+                stack.cut(depth)
+            if name in _ENDS:
+                same, within = _ENDS[name]
+                if (depth := stack.last(same)) > stack.last(within):
+                    stack.cut(depth)
             given = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
             words = [w for k in ("class", "id", "role", "aria-label", "itemprop") if k in given for w in _NAME.findall(given[k])]
             label = int(given[LABEL]) if given.get(LABEL) in ("0", "1") else None
-            if name in ("html",):
-                nodes[0].names = tuple(words)
+            if name == "html":
+                nodes[0].names, nodes[0].label = tuple(words), label
             elif name not in VOID:
-                nodes.append(Node(name, stack[-1][0], stack[-1][1], nodes[stack[-1][0]].names, tuple(dict.fromkeys(words)), label))
-                stack.append((len(nodes) - 1, name))
+                nodes.append(Node(name, stack.nodes[-1], stack.tags[-1], nodes[stack.nodes[-1]].names, tuple(dict.fromkeys(words)), label))
+                stack.push(len(nodes) - 1, name)
     if at < end:
         add(page[at:end])
     flush()
+    _below(nodes)
     return nodes
 
 
+def _below(nodes: list[Node]) -> None:
+    """Sets of each node the share of the page's text that is within it, and of this text the share that is linked."""
+    size, linked = [sum(len(t) for _, t in n.texts) for n in nodes], [n.linked for n in nodes]
+    for k in range(len(nodes) - 1, 0, -1):
+        size[nodes[k].parent] += size[k]
+        linked[nodes[k].parent] += linked[k]
+    for n, x, y in zip(nodes, size, linked):
+        n.share, n.links = x / max(1, size[0]), y / max(1, x)
+
+
 def features(node: Node) -> list[str]:
-    """Tag with parent's tag and whether it has names; its and the parent's names; of blocks with text, its length and share of links."""
+    """Tag with parent's tag and whether it has names; its and the parent's names; share of text and links below; of blocks with text, its length and links."""
     out = [f"tag={node.tag}<{node.within}{'+' if node.names else ''}", *(f"name={w}" for w in node.names), *(f"under={w}" for w in node.under)]
+    if node.share:
+        out.append(f"below={sum(node.share > x for x in (0.05, 0.2, 0.5, 0.8))},{sum(node.links > x for x in (0.1, 0.5))}")
     if own := sum(len(t) for _, t in node.texts):
         out.append(f"text={min(4, int(math.log(own + 1, 4)))},{min(2, 3 * node.linked // own)}")
     return out
@@ -149,9 +200,9 @@ class Model:
 
 
 def train(pages: list[str]) -> Model:
-    """The model counted on labelled pages: LABEL on a block holds for it and all below it; the root is no content."""
+    """The model counted on labelled pages: LABEL on a block (or on html) holds for it and all below it, up to another one; without it, the root is no content."""
     seen: dict[str, list[float]] = {}
-    edges, states = [[SMOOTHING] * 2, [SMOOTHING] * 2], [SMOOTHING * 2] * 2
+    edges, states, roots = [[SMOOTHING] * 2, [SMOOTHING] * 2], [SMOOTHING * 2] * 2, [SMOOTHING] * 2
     for page in pages:
         nodes = parse(page)
         state = [0] * len(nodes)
@@ -162,9 +213,11 @@ def train(pages: list[str]) -> Model:
                 seen.setdefault(f, [SMOOTHING, SMOOTHING])[state[k]] += 1
             if k:
                 edges[state[node.parent]][state[k]] += 1
+            else:
+                roots[state[k]] += 1
     unary = {f: tuple(math.log(n / states[s]) for s, n in enumerate(c)) for f, c in seen.items()}
     edge = tuple(tuple(math.log(x / sum(row)) for x in row) for row in edges)
-    return Model(unary, edge, (0.0, math.log(SMOOTHING / (len(pages) + SMOOTHING))))
+    return Model(unary, edge, tuple(math.log(x / sum(roots)) for x in roots))
 
 
 def _plus(a: float, b: float) -> float:
@@ -217,8 +270,8 @@ def main_text(page: str | None, model: Model) -> str:
 def extract(pages: DataFrame, html: str = "html", model: Model | None = None) -> DataFrame:
     """pages with text and n_chars (its code points), which replace columns of these names.
 
-    A null or empty page has an empty text, and so has one without content. Repeated rows are treated alike, an
-    empty table stays empty.
+    A null or empty page has an empty text, and so has one without content. Pages of any length are read whole. Repeated rows are
+    treated alike, an empty table stays empty.
     """
     prepare(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))
@@ -306,6 +359,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
             return f"<p><b>{words(1, 20)}<br>"
         if kind < 0.88:
             return f"<h{(k := r.randint(2, 4))}>{words(1, 8)}</h{k}>"
+        if kind < 0.9:
+            return f"<ul>{links(2, 6)}</ul>"
         if kind < 0.93:
             return f"<ul>{''.join(f'<li>{words(2, 20)}</li>' for _ in range(r.randint(2, 6)))}</ul>"
         if kind < 0.96:
@@ -316,7 +371,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
 
     def content() -> str:
         tag = r.choice(("article", "article", "article", "main", "div", "section"))
-        inner = [f"<h1>{words(1, 12)}</h1>"] if r.random() < 0.85 else []
+        title = f'<a href="/">{words(1, 12)}</a>' if r.random() < 0.2 else words(1, 12)
+        inner = [f"<h1>{title}</h1>"] if r.random() < 0.85 else []
         inner += [piece() for _ in range(r.choice((1, 1, 2, 3, r.randint(4, 14), r.randint(4, 14))))]
         for extra, much in ((advert, 0.3), (notice, 0.1), (form, 0.1), (side, 0.15), (comments, 0.15), (lambda: menu().replace(">", ' data-y="0">', 1), 0.1)):
             if r.random() < much:
@@ -325,8 +381,24 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
             inner = [f"<div{named(CONTENT_NAMES, 0.7)}>", *inner, "</div>"]
         return f'<{tag}{named(CONTENT_NAMES, 0.3 if tag in ("article", "main") else 1)} data-y="1">{"".join(inner)}</{tag}>'
 
+    def plain() -> str:
+        """A page without names or elements of an article: text alone, or paragraphs or bare blocks, with few things around them."""
+        kind = r.random()
+        if kind < 0.25:
+            return f'<html data-y="1">{words(1, 200)}'
+        block = r.choice(("p", "div", "section"))
+        body = "".join(f"<{block}>{words(3, 120)}</{block}>" for _ in range(r.randint(1, 8)))
+        if kind < 0.5:
+            return f'<html data-y="1"><head data-y="0"><title>{words(1, 8)}</title></head><body>{body}</body></html>'
+        around = [menu() if r.random() < 0.5 else "", footer() if r.random() < 0.5 else "", advert() if r.random() < 0.3 else ""]
+        wrapped = f'<{(tag := r.choice(("div", "section", "td", "center")))} data-y="1">{body}</{tag}>'
+        return f"<html><head><title>{words(1, 8)}</title></head><body>{around[0]}{around[2]}{wrapped}{around[1]}</body></html>"
+
     pages = []
     for _ in range(n):
+        if r.random() < 0.2:
+            pages.append(plain())
+            continue
         before = [f() for f, much in ((header, 0.5), (menu, 0.8), (notice, 0.25), (advert, 0.5), (form, 0.15), (side, 0.15)) if r.random() < much]
         after = [f() for f, much in ((comments, 0.4), (side, 0.4), (advert, 0.3), (form, 0.2), (notice, 0.15), (footer, 0.9)) if r.random() < much]
         middle = content()
