@@ -45,11 +45,11 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn("label", F.coalesce("component", "node")).drop("component")
 
 
-def linked(members: DataFrame, items: DataFrame, check: Callable, may: Callable[[Callable, Callable], Column], block: int) -> DataFrame:
+def linked(members: DataFrame, items: DataFrame, check: Callable, may: Callable[[Callable, Callable], Column], block: int, may_of_all: Callable | None = None) -> DataFrame:
     """(node, component) of all nodes with a link; a written table.
 
     members is a written table of (key, node, ...). may(a, b) says of two members, whose columns a(name) and b(name) give,
-    whether they can be alike.
+    whether they can be alike; may_of_all, if it is given, says so of the pairs that are not of a star.
     """
     rest = [c for c in members.columns if c not in ("key", "node")]
     now, edges, labels, total = members, [], None, members.count()
@@ -67,7 +67,7 @@ def linked(members: DataFrame, items: DataFrame, check: Callable, may: Callable[
         if k and (pairs_left <= PAIRS_A_MEMBER * total or k == MAX_ROUNDS):
             own = written(now.join(keys.select("key"), "key"), "open")
             other = own.select([F.col(c).alias(f"{c}_2") for c in own.columns])
-            alike = (F.col("node") < F.col("node_2")) & (F.col("label") != F.col("label_2")) & may(F.col, lambda c: F.col(f"{c}_2"))
+            alike = (F.col("node") < F.col("node_2")) & (F.col("label") != F.col("label_2")) & (may_of_all or may)(F.col, lambda c: F.col(f"{c}_2"))
             pairs = own.join(other, (F.col("key") == F.col("key_2")) & alike).select(F.col("node").alias("u"), F.col("node_2").alias("v"))
         else:
             own = None
