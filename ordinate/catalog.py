@@ -113,7 +113,12 @@ def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("l_orderkey", "l_linenumber", r6(scalar.silu(F.col("x"))).alias("silu"), r6(scalar.softplus(F.col("x"))).alias("softplus"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity / 8 - 3.03 AS x FROM lineitem),
+e AS (SELECT x, 2 / sqrt(pi()) * sum(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * pow(x / sqrt(2), 2 * k + 1) / (gamma(k + 1) * (2 * k + 1))) AS erf
+  FROM (SELECT DISTINCT x FROM l), range(60) t(k) GROUP BY x)
+SELECT l_orderkey, l_linenumber, round(x * 0.5 * (1 + erf), 6) + 0.0 AS gelu FROM l JOIN e USING (x)
+""")
 def gelu(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "lineitem").withColumn("x", F.col("l_quantity") / 8 - 3.03)
     return df.select("l_orderkey", "l_linenumber", r6(scalar.gelu(F.col("x"))).alias("gelu"))
@@ -164,8 +169,10 @@ def reduce_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, round(product(1 - l_discount), 6) AS kept FROM lineitem GROUP BY l_orderkey")
 def reduce_prod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.product(1 - F.col("l_discount")).alias("kept"))
-    return df.select("l_orderkey", r6("kept").alias("kept"))
+    lines = read(spark, sf_dir, "lineitem")
+    orders, numbers = lines.agg(F.max("l_orderkey") + 1, F.max("l_linenumber") + 1).first()
+    kept = TensorFrame.of(lines, ["l_orderkey", "l_linenumber"], 1 - F.col("l_discount"), (orders, numbers))  # of a sparse one: what is not there is 1
+    return reduce.prod_dim(kept, 1).df.select(F.col("i0").alias("l_orderkey"), r6("v").alias("kept"))
 
 
 @query(f"SELECT round(sum(v), 4) AS total, round(avg(v), 6) AS mean, round(sum(v * v), 4) AS squares FROM {LONG}")
@@ -415,7 +422,7 @@ def _scalar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SCAN)
 def ssm_scan_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: each user's recurrence over the hours between events, by a band join."""
+    """Each user's recurrence over the hours between events, by a band join: for short sequences."""
     df = event_sequences(spark, sf_dir)
     log_decay, decay, before, now = sequence.coefficients(F.col("dt"), F.lit(RATE), F.lit(LAMBDA))
     df = sequence.with_previous(df, ["user_id"], "t", {"last": "x"})
@@ -425,13 +432,15 @@ def ssm_scan_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SCAN)
 def ssm_scan_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: each user's recurrence over the hours between events, in chunks."""
     df = sequence.scan(_scalar_scan(spark, sf_dir), ["user_id"], chunk=16)
     return df.select("user_id", "t", r6(F.col("h")[0]).alias("h"))
 
 
 @query(SCAN)
 def ssm_scan_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = sequence.scan(_scalar_scan(spark, sf_dir), ["user_id"], chunk=1 << 20)
+    """Long chunks, of which most users fill one."""
+    df = sequence.scan(_scalar_scan(spark, sf_dir), ["user_id"], chunk=1024)
     return df.select("user_id", "t", r6(F.col("h")[0]).alias("h"))
 
 
@@ -499,7 +508,10 @@ def bidirectional_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("user_id", "t", r6(F.col("h")[0] + F.col("back")).alias("h"))
 
 
-@query()
+@query(f"""
+WITH h AS ({SCAN}), e AS (SELECT *, lag(x, 1, 0) OVER w AS x1, lag(x, 2, 0) OVER w AS x2, lag(x, 3, 0) OVER w AS x3 FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY t))
+SELECT user_id, event_id, t, h, round({KERNEL[0]} * x3 + {KERNEL[1]} * x2 + {KERNEL[2]} * x1 + {KERNEL[3]} * x, 6) + 0.0 AS y, false AS late FROM e JOIN h USING (user_id, t)
+""")
 def stream_ssm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recurrence and the convolution as a stream over the events' files, run until all is read."""
     schema = read(spark, sf_dir, "events").schema
@@ -693,13 +705,20 @@ def state_dict_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("name", "shape", (F.round(total, 3) + 0.0).alias("total"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE w AS {WORDS}, b AS (SELECT a.word AS token, z.word AS next, count(*) AS n FROM w a JOIN w z ON a.conv_id = z.conv_id AND a.turn = z.turn AND z.i = a.i + 1 GROUP BY ALL),
+best AS MATERIALIZED (SELECT token, next FROM (SELECT token, next, row_number() OVER (PARTITION BY token ORDER BY n DESC, next DESC) AS k FROM b) WHERE k = 1),
+g AS (
+  SELECT conv_id * 1000 + turn AS seq, 0 AS pos, split_part(text, ' ', 1) AS token FROM conversations WHERE text IS NOT NULL AND split_part(text, ' ', 1) != ''
+  UNION ALL SELECT seq, pos + 1, next FROM g JOIN best USING (token) WHERE pos < 8)
+SELECT seq, pos, token FROM g
+""")
 def generate_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight words after the first word of each conversation, greedily by the bigram counts."""
+    """Eight words after the first word of each turn, greedily by the bigram counts."""
     counts = settled(bigram_counts(spark, sf_dir))
     best = counts.groupBy("token").agg(F.max(F.struct("n", "next")).alias("b")).select("token", F.col("b.next").alias("next"), F.col("b.n").alias("n"))
-    turns = read(spark, sf_dir, "conversations").where("turn = 0 AND text IS NOT NULL")
-    first = turns.select(F.col("conv_id").alias("seq"), F.lit(0).alias("pos"), F.split("text", " ")[0].alias("token")).where("token != ''")
+    turns = read(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    first = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit(0).alias("pos"), F.split("text", " ")[0].alias("token")).where("token != ''")
 
     def next_logits(tokens: DataFrame) -> DataFrame:
         last = tokens.groupBy("seq").agg(F.max_by("token", "pos").alias("token"))

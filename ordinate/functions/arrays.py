@@ -38,8 +38,9 @@ def lowest(x: Column) -> Column:
 
 
 def argmax(x: Column) -> Column:
-    """The first index of the maximum."""
-    return (F.array_position(x, F.array_max(x)) - 1).cast("bigint")
+    """The first index of the maximum; a NaN counts only in the first place, where it wins."""
+    rest = F.array_max(F.filter(x, lambda v: ~F.isnan(v)))
+    return F.when(F.isnan(F.get(x, F.lit(0))), F.lit(0)).otherwise(F.array_position(x, rest) - 1).cast("bigint")
 
 
 def dot(x: Column, y: Column) -> Column:

@@ -65,13 +65,17 @@ def softplus(x: Column) -> Column:
 
 
 def erf(x: Column) -> Column:
-    """The error function. Spark has none, so batches go to Python."""
-
-    @F.arrow_udf("double")
-    def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else math.erf(v) for v in values.to_pylist()], pa.float64())
-
-    return run(x)
+    """The error function, to about 1e-13: up to 3 its series of positive terms, above a continued fraction of its complement."""
+    twice, series = 2 * x * x, number(1)
+    for k in range(55, 0, -1):
+        series = 1 + twice / (2 * k + 1) * series
+    small = x * F.exp(-x * x) * (2 / math.sqrt(math.pi)) * series
+    away = F.greatest(F.abs(x), number(3))
+    rest = away
+    for k in range(24, 0, -1):
+        rest = away + (k / 2) / rest
+    large = sign(x) * (1 - F.exp(-away * away) / (math.sqrt(math.pi) * rest))
+    return F.when(F.isnan(x), x).when(F.abs(x) <= 3, small).otherwise(large)
 
 
 def gelu(x: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
+from ..functions.arrays import dot, plus, rotate_halves
 from ..functions.scalar import clamp, number, sigmoid, softplus, wrap_to
 
 #: Rows of a chunk of the scan. Decays below exp(FLOOR) count as that.
@@ -24,27 +25,38 @@ CHUNK, FLOOR = 64, -60.0
 TWO_PI = 6.283185307179586
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str], name: str = "t", hot: bool = False) -> DataFrame:
-    """df with the rank of each row in its key, from 0.
+def positions(df: DataFrame, keys: list[str], order: list[str], name: str = "t", parts: Column | None = None) -> DataFrame:
+    """df with the rank of each row in its key, from 0. order should be unique in a key.
 
-    hot=True deals the rows by ranges of (keys, order), so that a key of any size is spread: ranks count within a
-    range, and each range adds the rows that its key has in the ranges before. order should be unique in a key.
+    parts: a column that ascends with the order, such as the day of a time. Ranks then count within a part, and each part adds the
+    rows that its key has in the parts before, so that a key of any size is spread.
     """
-    if not hot:
+    if parts is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
-    dealt = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part", *keys).orderBy(*order)
-    ranked = dealt.withColumn("_own", F.row_number().over(w))
-    counts = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    cut = df.withColumn("_part", parts)
+    ranked = cut.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    counts = cut.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     renamed = starts.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_start")
-    on = [F.col("_part") == F.col("_p")] + [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    on = [F.col("_part").eqNullSafe(F.col("_p"))] + [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     out = ranked.join(renamed, on).withColumn(name, (F.col("_own") - 1 + F.col("_start")).cast("bigint"))
     return out.select(*df.columns, name)
 
 
+def running_sum(df: DataFrame, keys: list[str], t: str, value: str, out: str, chunk: int = 4096) -> DataFrame:
+    """df with the sum of a column up to each row: within chunks, plus the chunks before."""
+    cut = df.withColumn("_chunk", F.floor(F.col(t) / chunk))
+    own = cut.withColumn("_own", F.sum(value).over(Window.partitionBy(*keys, "_chunk").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = cut.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), number(0)))
+    renamed = starts.select(F.col("_chunk").alias("_c"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_start")
+    on = [F.col("_chunk") == F.col("_c")] + [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return own.join(renamed, on).withColumn(out, F.col("_own") + F.col("_start")).select(*df.columns, out)
+
+
 def outer(x: Column, b: Column) -> Column:
     """The outer product of two arrays, row-major, as an array."""
     return F.flatten(F.transform(x, lambda p: F.transform(b, lambda n: p * n)))
@@ -66,17 +78,16 @@ def coefficients(dt: Column, a: Column, lam: Column) -> tuple[Column, Column, Co
 
 def trapezoid_weights(df: DataFrame, keys: list[str], t: str = "t", dt: str = "dt", lam: str = "lam") -> DataFrame:
     """df with g = lambda dt and w = g + (1 - lambda) dt of the row after (0 after the last)."""
-    g = F.col(lam) * F.col(dt)
-    after = F.lead((1 - F.col(lam)) * F.col(dt), 1, 0.0).over(Window.partitionBy(*keys).orderBy(t))
-    return df.withColumns({"g": g, "w": g + after})
+    given = df.withColumns({"g": F.col(lam) * F.col(dt), "_share": (1 - F.col(lam)) * F.col(dt), "_back": -F.col(t)})
+    given = with_previous(given, keys, "_back", {"_after": "_share"})
+    return given.withColumn("w", F.col("g") + F.coalesce("_after", number(0))).select(*df.columns, "g", "w")
 
 
 def wrapped_angle(df: DataFrame, keys: list[str], t: str = "t", dt: str = "dt", theta: str = "theta", start: Column | None = None) -> DataFrame:
     """df with phi, the angle that dt * theta adds up to, wrapped to [-pi, pi]."""
-    w = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.col(dt) * F.col(theta)).over(w)
-    return df.withColumn("phi", wrap_to(total + start if start is not None else total, TWO_PI))
-
+    given = running_sum(df.withColumn("_turn", F.col(dt) * F.col(theta)), keys, t, "_turn", "_total")
+    total = F.col("_total") + start if start is not None else F.col("_total")
+    return given.withColumn("phi", wrap_to(total, TWO_PI)).drop("_turn", "_total")
 
 
 def linear_scan(df: DataFrame, keys: list[str], t: str, log_decay: str, inputs: str, out: str = "h", chunk: int = CHUNK, most: int | None = None) -> DataFrame:
@@ -145,55 +156,64 @@ def scan(
     skip: float | None = None,
     state: DataFrame | None = None,
     chunk: int = CHUNK,
+    theta: str | None = None,
+    rank: int | None = None,
 ) -> DataFrame:
-    """df with y (array, one value for each of x) and h, the state after each row.
+    """df with y (array, one value for each of x), h (the state after each row) and u (what the row adds, x (outer) b).
 
-    x, b and c are arrays (b and c equally long), rate is A < 0. skip adds skip * x to y. state(keys, h, last_u) resumes
-    sequences: the state after the row before the first of df, and its outer product x (outer) b.
+    x, b and c are arrays (b and c equally long), rate is A < 0. skip adds skip * x to y. With a rank, x, b and c are arrays of so
+    many arrays, u is the sum of the outer products of x[j] and b[j], and y[i] reads the one state by c[i]. theta names the
+    rate at which the state turns: b and c are turned back by the angle that dt * theta has added up to, which comes as phi.
+    state(keys, h, last_u, angle) resumes sequences after the row before the first of df; see final_states().
     """
+    if rank is not None and rank < 1:
+        raise ConfigError(f"rank {rank}")
     log_decay, decay, before, now = coefficients(F.col(dt), F.col(rate), F.col(lam))
-    given = df.withColumn("_u", outer(F.col(x), F.col(b)))
+    given = df
     if state is not None:
         on = [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(keys)]
-        held = state.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], F.col("h").alias("_h0"), F.col("last_u").alias("_u0"))
+        angle = F.col("angle") if "angle" in state.columns else number(0)
+        held = state.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], F.col("h").alias("_h0"), F.col("last_u").alias("_u0"), angle.alias("_a0"))
         given = given.join(held, on, "left").drop(*[f"_s{i}" for i in range(len(keys))])
-    given = with_previous(given, keys, t, {"_before": "_u"}, chunk)
-    zeros = F.transform("_u", lambda _: number(0))
+    if theta is not None:
+        given = wrapped_angle(given, keys, t, dt, theta, F.coalesce("_a0", number(0)) if state is not None else None)
+
+    def parts(name: str, turned: bool) -> list[Column]:
+        found = [F.get(F.col(name), F.lit(j)) for j in range(rank)] if rank is not None else [F.col(name)]
+        if not turned or theta is None:
+            return found
+        half = lambda v, f: F.transform(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), lambda _: f)
+        return [rotate_halves(v, half(v, F.cos("phi")), half(v, -F.sin("phi"))) for v in found]
+
+    products = [outer(p, q) for p, q in zip(parts(x, False), parts(b, True))]
+    given = given.withColumn("u", plus(*products) if len(products) > 1 else products[0])
+    given = with_previous(given, keys, t, {"_before": "u"}, chunk)
+    zeros = F.transform("u", lambda _: number(0))
     first = F.col("_u0") if state is not None else F.lit(None).cast("array<double>")
     previous = F.coalesce("_before", F.when(F.col(t) == 0, first), zeros)
-    inputs = F.zip_with(F.transform(previous, lambda v: v * before), F.transform("_u", lambda v: v * now), lambda p, q: p + q)
+    inputs = F.zip_with(F.transform(previous, lambda v: v * before), F.transform("u", lambda v: v * now), lambda p, q: p + q)
     if state is not None:
         start = F.coalesce(F.when(F.col(t) == 0, F.col("_h0")), zeros)
         inputs = F.zip_with(inputs, start, lambda p, s: p + decay * s)
     given = given.withColumns({"_d": log_decay, "_in": inputs})
     states = linear_scan(given, keys, t, "_d", "_in", "h", chunk)
-    y = read_out(F.col("h"), F.col(c))
+    read = [read_out(F.col("h"), q) for q in parts(c, True)]
     if skip is not None:
-        y = F.zip_with(y, F.col(x), lambda v, w: v + skip * w)
-    return states.select(*df.columns, y.alias("y"), "h")
-
+        read = [F.zip_with(y, p, lambda v, w: v + skip * w) for y, p in zip(read, parts(x, False))]
+    y = F.array(*read) if rank is not None else read[0]
+    return states.select(*df.columns, y.alias("y"), "h", "u", *(["phi"] if theta is not None else []))
 
-def mimo_scan(df: DataFrame, keys: list[str], rank: int, t: str = "t", x: str = "x", b: str = "b", c: str = "c", **how) -> DataFrame:
-    """df with y for rank inputs and outputs: x, b and c are arrays of rank arrays, and y[i] sums the scans of x[j], b[j], c[i].
 
-    The rank * rank scans are sequences of their own in one plan. how goes to scan(); resume states are not taken.
-    """
-    if rank < 1 or "state" in how:
-        raise ConfigError(f"rank {rank}, {sorted(how)}")
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(rank) for j in range(rank)]))
-    given = df.withColumn("_p", pairs).withColumns({"_i": F.col("_p.i"), "_j": F.col("_p.j")}).drop("_p")
-    given = given.withColumns({x: F.get(x, F.col("_j")), b: F.get(b, F.col("_j")), c: F.get(c, F.col("_i"))})
-    scanned = scan(given, [*keys, "_i", "_j"], t, x, b, c, **how).select(*keys, t, "_i", F.posexplode("y").alias("_k", "_y"))
-    sums = scanned.groupBy(*keys, t, "_i", "_k").agg(F.sum("_y").alias("_y"))
-    rows = sums.groupBy(*keys, t, "_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_y"))), lambda s: s["_y"]).alias("_row"))
-    out = rows.groupBy(*keys, t).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_row"))), lambda s: s["_row"]).alias("y"))
-    return df.join(out, [*keys, t])
+def mimo_scan(df: DataFrame, keys: list[str], rank: int, **how) -> DataFrame:
+    """scan() for rank inputs and outputs with one state."""
+    return scan(df, keys, rank=rank, **how)
 
 
-def final_states(scanned: DataFrame, keys: list[str], t: str = "t", x: str = "x", b: str = "b") -> DataFrame:
-    """(keys, h, last_u): the resume state after each sequence's last row."""
-    last = F.max_by(F.struct("h", outer(F.col(x), F.col(b)).alias("u")), t)
-    return scanned.groupBy(*keys).agg(last.alias("s")).select(*keys, F.col("s.h").alias("h"), F.col("s.u").alias("last_u"))
+def final_states(scanned: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """(keys, h, last_u, angle): the resume state after each sequence's last row of scan()."""
+    angle = F.col("phi") if "phi" in scanned.columns else number(0)
+    last = F.max_by(F.struct("h", "u", angle.alias("angle")), t)
+    return scanned.groupBy(*keys).agg(last.alias("s")).select(*keys, F.col("s.h").alias("h"), F.col("s.u").alias("last_u"), F.col("s.angle").alias("angle"))
 
 
 def scan_band(df: DataFrame, keys: list[str], t: str, log_decay: str, inputs: str, out: str = "h") -> DataFrame:
@@ -246,21 +266,58 @@ def conv_history(df: DataFrame, keys: list[str], t: str, x: str, size: int) -> D
     return df.withColumn("back", F.row_number().over(w)).where(F.col("back") < size).select(*keys, "back", F.col(x).alias("x"))
 
 
-def attention(df: DataFrame, keys: list[str], t: str, q: str, k: str, v: str, scale: float, causal: bool = True, out: str = "o") -> DataFrame:
+def attention(
+    df: DataFrame, keys: list[str], t: str, q: str, k: str, v: str, scale: float, causal: bool = True, out: str = "o",
+    heads: int = 1, groups: int | None = None, past: DataFrame | None = None, chunk: int = CHUNK,
+) -> DataFrame:
     """df with the attention of each row's query over the rows of its key, itself and those before if causal.
 
-    A join of a key's rows with the rows before and a grouped softmax: work grows with the square of a sequence.
+    q holds the heads' queries one after another, k and v those of the groups; head h reads group h * groups // heads (groups: as
+    many as heads). past(keys, t, k, v) are rows from before, such as a cache of what was seen: t of df goes on after them.
+    Keys and values are packed to chunks; a row gets a partial softmax from each chunk, and the partial ones are added up. Work
+    grows with the square of a sequence, rows with the square over the chunk's length.
     """
-    right = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col(t).alias("_s"), F.col(k).alias("_key"), F.col(v).alias("_value"))
-    on = [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(keys)] + ([F.col("_s") <= F.col(t)] if causal else [])
-    dot = F.aggregate(F.zip_with(F.col(q), F.col("_key"), lambda a, b: a * b), number(0), lambda s, x: s + x) * scale
-    met = df.join(right, on).select(*keys, F.col(t), dot.alias("_score"), "_value")
-    top = met.groupBy(*keys, t).agg(F.max("_score").alias("_top"))
-    met = met.join(top, [*keys, t]).withColumn("_e", F.exp(F.col("_score") - F.col("_top")))
-    spread = met.select(*keys, t, "_e", F.posexplode("_value").alias("_d", "_x"))
-    sums = spread.groupBy(*keys, t, "_d").agg((F.sum(F.col("_e") * F.col("_x")) / F.sum("_e")).alias("_o"))
-    packed = sums.groupBy(*keys, t).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_o"))), lambda s: s["_o"]).alias(out))
-    return df.join(packed, [*keys, t])
+    groups = groups or heads
+    if heads % groups:
+        raise ConfigError(f"{heads} heads for {groups} groups")
+    seen = df.select(*keys, t, k, v)
+    seen = seen if past is None else seen.unionByName(past.select(*keys, t, k, v))
+    packed = seen.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.floor(F.col(t) / chunk).alias("_chunk"))
+    packed = packed.agg(F.collect_list(F.struct(F.col(t).alias("t"), F.col(k).alias("k"), F.col(v).alias("v"))).alias("_rows"))  # chunk rows
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)] + ([F.col("_chunk") * chunk <= F.col(t)] if causal else [])
+    met = df.select(*keys, t, q).join(packed, on)
+    met = met.withColumn("_rows", F.filter("_rows", lambda r: r["t"] <= F.col(t)) if causal else F.col("_rows")).where(F.size("_rows") > 0)
+    wide, deep = (F.size(q) / heads).cast("int"), (F.size(F.col("_rows")[0]["v"]) / groups).cast("int")
+
+    def part(head: int) -> Column:
+        group = head * groups // heads
+        own = F.slice(q, head * wide + 1, wide)
+        scores = F.transform("_rows", lambda r: dot(own, F.slice(r["k"], group * wide + 1, wide)) * scale)
+        values = F.transform("_rows", lambda r: F.slice(r["v"], group * deep + 1, deep))
+        return F.struct(scores.alias("s"), values.alias("v"))
+
+    def softened(p: Column) -> Column:
+        top = F.array_max(p["s"])
+        e = F.transform(p["s"], lambda s: F.exp(s - top))
+        zeros = F.transform(p["v"][0], lambda _: number(0))
+        sums = F.aggregate(F.zip_with(e, p["v"], lambda w, x: F.struct(w.alias("w"), x.alias("x"))), zeros, lambda s, r: F.zip_with(s, r["x"], lambda a, b: a + r["w"] * b))
+        return F.struct(top.alias("top"), F.aggregate(e, number(0), lambda s, w: s + w).alias("total"), sums.alias("sums"))
+
+    partial = met.select(*keys, t, F.transform(F.array(*[part(h) for h in range(heads)]), softened).alias("_p"))
+    merged = partial.groupBy(*keys, t).agg(F.collect_list("_p").alias("_ps"))  # one for each chunk before the row
+
+    def whole(head: int) -> Column:
+        own = F.transform("_ps", lambda p: p[head])
+        top = F.array_max(F.transform(own, lambda p: p["top"]))
+        zero = F.struct(number(0).alias("total"), F.transform(own[0]["sums"], lambda _: number(0)).alias("sums"))
+        both = F.aggregate(own, zero, lambda s, p: F.struct(
+            (s["total"] + F.exp(p["top"] - top) * p["total"]).alias("total"), F.zip_with(s["sums"], p["sums"], lambda a, b: a + F.exp(p["top"] - top) * b).alias("sums")
+        ))
+        return F.transform(F.array(both), lambda b: F.transform(b["sums"], lambda x: x / b["total"]))[0]
+
+    found = merged.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col(t).alias("_t"), F.concat(*[whole(h) for h in range(heads)]).alias(out))
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)] + [F.col(t) == F.col("_t")]
+    return df.join(found, on).select(*df.columns, out)
 
 
 def discretised(raw_dt: Column, bias: float, raw_lambda: Column | None, fixed: float | None = None) -> tuple[Column, Column]:

@@ -18,7 +18,7 @@ from .. import shape as S
 from ..errors import AutodiffError
 from ..frame import TensorFrame
 from ..functions import scalar
-from ..operators import contraction, elemwise, movement, reduce, scan
+from ..operators import contraction, elemwise, indexing, movement, reduce, scan
 
 _ids = count()
 _enabled: ContextVar[bool] = ContextVar("enabled", default=True)
@@ -73,8 +73,11 @@ def _var(like: Var, x) -> Var:
     return x if isinstance(x, Var) else Var(TensorFrame(like.tensor.df.sparkSession.range(1).select(F.lit(float(x)).alias("v")), ()))
 
 
-def backward(loss: Var) -> dict[str, TensorFrame]:
-    """The gradients of a one-element Var by the names of its leaves; a leaf that is used more than once has the sum."""
+def backward(loss: Var, retain: dict[str, Var] | None = None) -> dict[str, TensorFrame]:
+    """The gradients of a one-element Var by the names of its leaves; a leaf that is used more than once has the sum.
+
+    retain: further Vars within the graph whose gradients are wanted, by names for them. The graph is kept: backward can be called again.
+    """
     if not loss.tracked:
         raise AutodiffError("the loss depends on no named leaf")
     if loss.tensor.size != 1:
@@ -92,8 +95,11 @@ def backward(loss: Var) -> dict[str, TensorFrame]:
         if not parts:
             continue
         g = parts[0] if len(parts) == 1 else elemwise.add_all(parts)
-        if v.name is not None:
-            out.setdefault(v.name, []).append(g)
+        for name in [v.name] if v.name is not None else []:
+            out.setdefault(name, []).append(g)
+        for name, wanted in (retain or {}).items():
+            if wanted.id == v.id:
+                out.setdefault(name, []).append(g)
         if v.pull is not None and v.parents:
             for parent, part in zip(v.parents, v.pull(g)):
                 if parent.tracked and part is not None:
@@ -302,10 +308,95 @@ def softmax(x: Var, axis: int) -> Var:
     return exp(log_softmax(x, axis))
 
 
-def cross_entropy(logits: Var, targets: TensorFrame) -> Var:
-    """Mean negative log-likelihood of one-hot targets of the logits' shape [rows, classes]."""
-    picked = mul(log_softmax(logits, 1), Var(targets))
-    return affine(sum_all(picked), -1.0 / logits.shape[0], 0.0)
+def cross_entropy(logits: Var, targets: TensorFrame, smoothing: float = 0.0, ignored: int | None = None) -> Var:
+    """Mean negative log-likelihood for logits [rows, classes].
+
+    targets: one-hot of that shape, or the classes [rows]. smoothing shares so much of the target out to all classes. Rows of the
+    class ignored count neither in the sum nor in the mean (a mean of no rows is 0).
+    """
+    rows, classes = logits.shape
+    hot = targets if targets.rank == 2 else indexing.one_hot(targets, classes)
+    if smoothing:
+        hot = hot.map(lambda v: v * (1 - smoothing) + smoothing / classes)
+    count = Var(TensorFrame(hot.df.sparkSession.range(1).select(F.lit(float(rows)).alias("v")), ()))
+    if ignored is not None:
+        if targets.rank != 1:
+            raise AutodiffError("an ignored class needs targets [rows]")
+        kept = targets.map(lambda v: F.when(v == ignored, 0.0).otherwise(1.0))
+        hot = elemwise.mul(hot, movement.unsqueeze(kept, 1))
+        count = Var(reduce.sum_all(kept).map(lambda v: F.greatest(v, scalar.number(1))))
+    return affine(div(sum_all(mul(log_softmax(logits, 1), Var(hot))), count), -1.0, 0.0)
+
+
+def gather_rows(x: Var, ids: TensorFrame) -> Var:
+    """Rows of a table [n, columns] by ids [m]; the gradient adds up at rows that are named more than once."""
+    rows, columns = x.shape
+    named = ids.df.select(F.col("i0").alias("_r"), F.col("v").cast("bigint").alias("id"))
+    found = indexing.gather_rows(x.tensor, named).select(F.col("_r").alias("i0"), "i1", "v")
+
+    def pull(g: TensorFrame) -> list[TensorFrame]:
+        return [indexing.scatter_add_rows(g.df.join(named, F.col("i0") == F.col("_r")).select("id", "i1", "v"), rows, columns)]
+
+    return Var(TensorFrame(found, (ids.shape[0], columns)), parents=(x,), pull=pull)
+
+
+def take_along_last(x: Var, ids: TensorFrame) -> Var:
+    def pull(g: TensorFrame) -> list[TensorFrame]:
+        return [elemwise.mul(indexing.one_hot(ids, x.shape[-1]), movement.unsqueeze(g, g.rank))]
+
+    return Var(indexing.take_along_last(x.tensor, ids), parents=(x,), pull=pull)
+
+
+def reverse_bands(x: Var, axis: int, bands: list[tuple[int, int]]) -> Var:
+    return Var(movement.reverse_bands(x.tensor, axis, bands), parents=(x,), pull=lambda g: [movement.reverse_bands(g, axis, bands)])
+
+
+def split(x: Var, sizes: list[int], axis: int) -> list[Var]:
+    starts = [sum(sizes[:k]) for k in range(len(sizes))]
+    return [narrow(x, axis, s, n) for s, n in zip(starts, sizes)]
+
+
+def rotate_halves(x: Var, cos: Var, sin: Var) -> Var:
+    """Planes of the halves of the last axis, turned; cos and sin broadcast to a half."""
+    axis, half = len(x.shape) - 1, x.shape[-1] // 2
+    first, second = split(x, [half, half], axis)
+    return cat([sub(mul(first, cos), mul(second, sin)), add(mul(first, sin), mul(second, cos))], axis)
+
+
+def causal_conv(x: Var, weights: Var, axis: int) -> Var:
+    """weights [k], of which the last is that of the cell itself, over cells before along an axis; missing ones are zeros."""
+    size, out = weights.shape[0], None
+    for j in range(size):
+        term = mul(shift_by(x, axis, size - 1 - j) if j < size - 1 else x, narrow(weights, 0, j, 1))
+        out = term if out is None else add(out, term)
+    return out
+
+
+def exp_decay(a: Var, floor_at: float = -60.0) -> Var:
+    return exp(clamp(a, floor_at, 0.0))
+
+
+def trapezoid_weights(dt: Var, lam: Var, axis: int) -> tuple[Var, Var]:
+    """(g, w): g = lambda dt, and w = g + (1 - lambda) dt of the cell after along an axis."""
+    g = mul(lam, dt)
+    return g, add(g, shift_by(sub(dt, g), axis, -1))
+
+
+def band(log_decay: Var, w: Var, g: Var) -> Var:
+    """[T, T] of a chunk's weights: g on the diagonal, w below it, times the decay from column to row; zeros above."""
+    n, spark = log_decay.shape[0], log_decay.tensor.df.sparkSession
+    total = cumsum(log_decay, 0)
+    decay = exp_decay(sub(reshape(total, (n, 1)), reshape(total, (1, n))))
+    cells = lambda f: Var(TensorFrame.generated(spark, (n, n), f))
+    below, on = cells(lambda i, j: F.when(j < i, 1.0).otherwise(0.0)), cells(lambda i, j: F.when(j == i, 1.0).otherwise(0.0))
+    return mul(add(mul(reshape(w, (1, n)), below), mul(reshape(g, (1, n)), on)), decay)
+
+
+def linear_scan(log_decay: Var, inputs: Var) -> Var:
+    """The states h[t] = exp(log_decay[t]) h[t-1] + inputs[t] of one chunk, [T], as a product of a lower triangle with the inputs."""
+    n = log_decay.shape[0]
+    ones = Var(log_decay.tensor.map(lambda _: scalar.number(1)))
+    return reshape(matmul(band(log_decay, ones, ones), reshape(inputs, (n, 1))), (n,))
 
 
 def mse(a: Var, b: Var) -> Var:

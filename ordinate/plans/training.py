@@ -58,7 +58,7 @@ class Schedule:
         elif self.kind == "linear":
             late = base * (1 - (1 - self.ratio) * done)
         elif self.kind == "step":
-            return base * F.pow(F.lit(float(self.gamma)), F.floor(step / self.every))
+            return base * F.pow(F.lit(float(self.gamma)), F.floor(step / self.every)) if self.every else F.lit(float(base))
         elif self.kind == "inverse_sqrt":
             late = base * F.sqrt(max(1, self.warmup) / F.greatest(step, F.lit(1.0)))
         else:

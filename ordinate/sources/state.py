@@ -79,5 +79,13 @@ def load_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, int, dic
     return load(spark, f"{path}/state"), meta.step, json.loads(meta.metadata)
 
 
+def restored(path: str, into: DataFrame, strict: bool = True, pattern: str | None = None) -> tuple[DataFrame, int, dict]:
+    """into with the data of a checkpoint, or of its entries whose names contain pattern (then not strict), and its step and metadata."""
+    state, step, metadata = load_checkpoint(into.sparkSession, path)
+    if pattern is not None:
+        state, strict = filtered(state, pattern), False
+    return loaded(into, state, strict), step, metadata
+
+
 def value_count(state: DataFrame) -> DataFrame:
     return state.agg(F.coalesce(F.sum(F.size("data")), F.lit(0)).alias("n_values"))

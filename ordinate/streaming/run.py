@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; in one of this machine only where none is named."""
+    """A new path in the folder that the cluster shares; in one of this machine only where none is named and all work is on it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/ordinate-scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ordinate/{name}-{uuid.uuid4().hex}"

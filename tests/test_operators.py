@@ -160,8 +160,8 @@ def test_scan_resumes(spark, cut):
 
 def test_positions(spark):
     df = spark.createDataFrame([(k, (7 * i) % 50) for k in ("a", "b", None) for i in range(50)], "k string, o bigint")
-    for hot in (False, True):
-        got = sequence.positions(df, ["k"], ["o"], hot=hot).collect()
+    for parts in (None, F.floor(F.col("o") / 7)):
+        got = sequence.positions(df, ["k"], ["o"], parts=parts).collect()
         assert len(got) == 150 and all(r.t == r.o for r in got)
 
 
@@ -226,3 +226,38 @@ def test_mimo(spark):
     for i in range(rank):
         want = sum(direct(x[:, j], b[:, j], c[:, i], dt, lam, -0.7)[0] for j in range(rank))
         np.testing.assert_allclose([got[t][i] for t in range(n)], want, atol=1e-9)
+
+
+def test_running_sum_and_attention_with_heads(spark):
+    r = np.random.default_rng(3)
+    n, heads, groups, wide = 13, 4, 2, 3
+    q, k, v, x = r.normal(size=(n, heads * wide)), r.normal(size=(n, groups * wide)), r.normal(size=(n, groups * 2)), r.normal(size=n)
+    rows = [("a", t, float(x[t]), q[t].tolist(), k[t].tolist(), v[t].tolist()) for t in range(n)]
+    df = spark.createDataFrame(rows, "id string, t bigint, x double, q array<double>, k array<double>, v array<double>")
+    sums = {row.t: row.s for row in sequence.running_sum(df, ["id"], "t", "x", "s", chunk=4).collect()}
+    np.testing.assert_allclose([sums[t] for t in range(n)], np.cumsum(x), atol=1e-12)
+    want = np.zeros((n, heads * 2))
+    for t in range(n):
+        for h in range(heads):
+            g = h * groups // heads
+            z = k[: t + 1, g * wide : (g + 1) * wide] @ q[t, h * wide : (h + 1) * wide] * 0.3
+            p = np.exp(z - z.max())
+            want[t, 2 * h : 2 * h + 2] = p / p.sum() @ v[: t + 1, 2 * g : 2 * g + 2]
+    how = {"scale": 0.3, "heads": heads, "groups": groups, "chunk": 4}
+    got = {row.t: row.o for row in sequence.attention(df, ["id"], "t", "q", "k", "v", **how).collect()}
+    np.testing.assert_allclose([got[t] for t in range(n)], want, atol=1e-9)
+    late = sequence.attention(df.where("t >= 5"), ["id"], "t", "q", "k", "v", past=df.where("t < 5"), **how)
+    np.testing.assert_allclose([row.o for row in late.orderBy("t").collect()], want[5:], atol=1e-9)
+
+
+def test_edges_of_functions(spark):
+    from ordinate.functions import arrays
+    from ordinate.plans.training import Schedule
+
+    nan = float("nan")
+    df = spark.createDataFrame([([nan, 5.0],), ([1.0, nan, 3.0],), ([2.0, 2.0],)], "x array<double>")
+    assert [row[0] for row in df.select(arrays.argmax(F.col("x"))).collect()] == [0, 2, 0]
+    assert spark.range(1).select(Schedule("step", every=0).at(0.5, F.col("id"))).first()[0] == 0.5
+    xs = [0.0, 1e-9, -0.3, 0.7, 1.9, 2.999, 3.001, -4.5, 8.0, 40.0, float("inf"), float("-inf")]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", scalar.erf(F.col("x")).alias("y")).orderBy("i").collect()
+    assert all(abs(row.y - math.erf(x)) < 1e-12 for row, x in zip(got, xs))
