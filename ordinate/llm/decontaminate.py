@@ -357,7 +357,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDO
     own = F.when(F.col("doc_id").isNotNull(), F.concat(F.lit("i"), F.col("doc_id").cast("bigint").cast("string"))).otherwise(F.concat(F.lit("t"), F.sha2(text, 256)))
     keyed = docs.withColumn(name, F.xxhash64(own))
     hit = report(keyed.select(F.col(name).alias("doc_id"), "text"), benchmark, size).where("contaminated")
-    hit = written(hit.select(F.col("doc_id").alias("hit_id")).distinct(), "hits")
+    hit = written(hit.select(F.col("doc_id").alias(f"{name}_hit")).distinct(), "hits")
     may = flagged(keyed, F.col(name), hit, f"{name}_may")
-    left = may.where(f"{name}_may").join(hit.hint("merge"), F.col(name) == F.col("hit_id"), "left_anti")
+    left = may.where(f"{name}_may").join(hit.hint("merge"), F.col(name) == F.col(f"{name}_hit"), "left_anti")
     return may.where(f"NOT {name}_may").union(left).drop(name, f"{name}_may")

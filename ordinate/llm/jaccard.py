@@ -8,7 +8,7 @@ A T-occurrence search in two steps. Each document has its set of shingles as sor
    aside. Of two sets with a key in common, the sizes and the places of the key in both say whether they can overlap enough.
 2. Candidates are searched star by star (links.py): a task has a query set and some of its candidates. There, DivideSkip: of the
    candidates' inverted lists, the short ones are merged by a heap, and what occurs there often enough is looked up in the
-   longest ones by binary search. What reaches the overlap is a link.
+   longest ones by binary search. What reaches the overlap is a link. Sets that stars leave apart are searched in blocks.
 
 No candidate groups are formed before pairs are verified: chains of documents that share rare shingles cost a search a document. Exact for
 any data, except that shingles are told apart by 48 bits (while they are counted by 38 or more, which can only add candidates) and whole sets by 128.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, flagged, fresh, prepare, slices, texts, written
-from .links import linked
+from .links import Task, linked
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -306,6 +306,42 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from ended()
 
 
+def _search_all(task: Task) -> None:
+    """The same search among the sets of a task, for those that are not of its most frequent component; long lists are merged by sorting."""
+    sets = [_unpacked(r["data"]) for r in task.rows]
+    size = np.array([len(s) for s in sets], np.int64)
+    universe, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(code, kind="stable")
+    postings, start = owner[order], np.searchsorted(code[order], np.arange(len(universe) + 1))
+    length, ends = np.diff(start), np.cumsum(size)
+    for row in task.asked():
+        may = task.open(row) & (100 * np.minimum(size, size[row]) >= PERCENT * np.maximum(size, size[row]))
+        if not may.any():
+            continue
+        need = -(-PERCENT * (size[row] + size) // (100 + PERCENT))
+        terms = code[ends[row] - size[row] : ends[row]]
+        terms = terms[length[terms] > 1]
+        t = int(need[may].min())
+        if len(terms) < t:
+            continue
+        terms = terms[np.argsort(length[terms], kind="stable")]
+        short, long = terms[: len(terms) - t + 1], terms[len(terms) - t + 1 :]
+        near, got = np.unique(np.concatenate([postings[start[c] : start[c + 1]] for c in short]), return_counts=True)
+        near, got = near[may[near]], got[may[near]]
+        for k, c in enumerate(long):
+            if k & 15 == 0:
+                alive = got + (len(long) - k) >= need[near]
+                near, got = near[alive], got[alive]
+                if not len(near):
+                    break
+            held = postings[start[c] : start[c + 1]]
+            p = np.minimum(np.searchsorted(held, near), len(held) - 1)
+            got = got + (held[p] == near)
+        for x in near[got >= need[near]].tolist():
+            task.link(row, x)
+
+
 def _may(a, b):
     """Whether two sets with a key in common can overlap enough, by their sizes and by the shingles that each has from the key on."""
     least, most, room = F.least(a("size"), b("size")), F.greatest(a("size"), b("size")), F.least(a("room"), b("room"))
@@ -345,7 +381,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     wanted = written(members.select(F.col("node").alias("wanted")).distinct(), "wanted")
     items = flagged(sets.select("node", F.col("shingles").alias("data")), F.col("node"), wanted, "may").where("may")
     items = written(items.join(wanted.hint("merge"), F.col("node") == F.col("wanted")).select("node", "data"), "items")
-    labels = linked(members, items, _search, _may, BLOCK)
+    labels = linked(members, items, _search, _search_all, _may, BLOCK)
     dropped(members, wanted, items)
 
     inside = classes.join(labels, F.col("owner") == F.col("node")).select(*same, "component", "least")
@@ -364,8 +400,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without doc_id stay. Only rows that may go are shuffled.
     """
-    gone = written(cluster(docs).where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    name = fresh(docs, "_may")
-    may = flagged(docs, F.col("doc_id"), gone, name)
-    left = may.where(name).join(gone.hint("merge"), F.col("doc_id").cast("bigint") == F.col("gone_id"), "left_anti")
-    return may.where(f"NOT {name}").union(left).drop(name)
+    name = fresh(docs, "_gone")
+    gone = written(cluster(docs).where("component_id != doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    may = flagged(docs, F.col("doc_id"), gone, f"{name}_may")
+    left = may.where(f"{name}_may").join(gone.hint("merge"), F.col("doc_id").cast("bigint") == F.col(name), "left_anti")
+    return may.where(f"NOT {name}_may").union(left).drop(f"{name}_may")

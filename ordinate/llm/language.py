@@ -119,8 +119,8 @@ def log_likelihoods(docs: DataFrame, model: Model, text: str, out: str) -> DataF
 
 
 def _host_parts(host: Column) -> tuple[Column, Column]:
-    """The domain (last two labels) and the suffix (last label) of a host; the suffix is null without a dot."""
-    domain = F.substring_index(host, ".", -2)
+    """The domain (last two labels) and the suffix (last label) of a host; null without a dot, as nothing but the host is known then."""
+    domain = F.when(host.contains("."), F.substring_index(host, ".", -2))
     suffix = F.when(host.contains("."), F.lower(F.substring_index(host, ".", -1)))
     return domain, suffix
 
@@ -140,7 +140,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     host names the column of hosts or other origins; a suffix is taken from it where it holds a dot. Any evidence
     may be null and then says nothing. A text that is null or without letters is UNDETERMINED with confidence 0.
     accepted: the likeliest is a language (not UNDETERMINED) with MIN_CONFIDENCE or more. Ties go to the code that
-    sorts first. Repeated rows are judged alike; an empty table stays empty.
+    sorts first. Texts of any length are read whole. Repeated rows are judged alike; an empty table stays empty.
     """
     prepare(docs.sparkSession)
     model = model or train(docs, text, declared)

@@ -1,25 +1,26 @@
-"""Links within candidate groups: stars, verified, round by round, then what is left in pairs.
+"""Links within candidate groups: stars, verified, then what is left in blocks.
 
-members(key, node, ...) says which nodes meet under a key. Not all pairs of a key are tested: every node is first tested
-against one node of its key. What is alike forms components; a key whose nodes are all of one component needs no further
-test. Of the other keys, another node is taken, and so on while this is the cheaper way; then the pairs of nodes of
-different components are tested. So no pair that could join two components stays untested, and a group of near copies costs
-a test a node.
+members(key, node, ...) says which nodes meet under a key. Not all pairs of a key are tested: first, every node is tested
+against one node of its key. What is alike forms components, and a key whose nodes are all of one component needs no further
+test; so a group of near copies costs a test a node. Another round of stars follows for the other keys. Their nodes that are then still apart
+are dealt in blocks, each pair of blocks to a task, which tests the pairs of nodes of different components within it. So no
+pair that could join two components stays untested, no pairs are written out, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, written
 from .graph import components
 
-#: Pairs of open keys for each member, on average, up to which they are tested at once instead of another round of stars.
-PAIRS_A_MEMBER = 64
-MAX_ROUNDS = 3
+#: Rounds of stars; nodes of a block.
+STARS, SIDE = 2, 800
 
 
 def verified(pairs: DataFrame, items: DataFrame, check: Callable, block: int) -> DataFrame:
@@ -45,48 +46,104 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn("label", F.coalesce("component", "node")).drop("component")
 
 
-def linked(members: DataFrame, items: DataFrame, check: Callable, may: Callable[[Callable, Callable], Column], block: int, may_of_all: Callable | None = None) -> DataFrame:
+def _blocks(members: DataFrame, keys: DataFrame, items: DataFrame, check_all: Callable) -> DataFrame:
+    """The links between nodes of open keys with different labels; a written table."""
+    groups = components(members.join(keys.select("key", "lead"), "key").select(F.col("lead.node").alias("u"), F.col("node").alias("v")), "open")
+    own = members.select("node", "label").distinct().join(groups.select(F.col("node").alias("of"), F.col("component").alias("group")), F.col("node") == F.col("of"))
+    own = written(own.select("group", "node", "label"), "own")
+    cut = own.groupBy("group").agg(F.ceil(F.count("*") / SIDE).alias("slices"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
+    dealt = own.join(cut.select("group", "slices"), "group").withColumn("side", F.pmod(F.xxhash64("node"), F.col("slices")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
+    dealt = dealt.select("group", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", F.col("node").alias("of"), "label")
+    rows = dealt.join(items, F.col("of") == F.col("node")).drop("of").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
+    found = written(rows.mapInArrow(_each_task(check_all), "u bigint, v bigint"), "verified")
+    dropped(own, groups)
+    return found
+
+
+class Task:
+    """The rows of one pair of blocks, and which of them are connected so far."""
+
+    def __init__(self, rows: list[dict], across: bool) -> None:
+        self.rows, self.across = rows, across
+        self.node = np.array([r["node"] for r in rows], np.int64)
+        self.side = np.array([r["side"] for r in rows], np.int64)
+        self.root = np.unique([r["label"] for r in rows], return_inverse=True)[1]
+        self.usual = np.bincount(self.root).argmax()
+        self.links: list[tuple[int, int]] = []
+
+    def asked(self) -> list[int]:
+        """The rows whose partners are searched: all but those of the most frequent label."""
+        return np.flatnonzero(self.root != self.usual).tolist()
+
+    def open(self, row: int) -> np.ndarray:
+        """Which rows row is to be tested against: of another component, of another block if there are two."""
+        mask = self.root != self.root[row]
+        return mask & (self.side != self.side[row]) if self.across else mask
+
+    def link(self, a: int, b: int) -> None:
+        if self.root[a] != self.root[b]:
+            self.links.append((int(self.node[a]), int(self.node[b])))
+            self.root[self.root == self.root[a]] = self.root[b]
+
+
+def _each_task(check_all: Callable[[Task], None]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if rows:
+                task = Task(rows, key[1] != key[2])
+                check_all(task)
+                u, v = zip(*task.links) if task.links else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["group"], r["i"], r["j"]) != key:
+                    yield from ended()
+                    key, rows = (r["group"], r["i"], r["j"]), []
+                rows.append(r)
+        yield from ended()
+
+    return run
+
+
+def linked(members: DataFrame, items: DataFrame, check: Callable, check_all: Callable[[Task], None], may: Callable[[Callable, Callable], Column], block: int) -> DataFrame:
     """(node, component) of all nodes with a link; a written table.
 
-    members is a written table of (key, node, ...). may(a, b) says of two members, whose columns a(name) and b(name) give,
-    whether they can be alike; may_of_all, if it is given, says so of the pairs that are not of a star.
+    members is a written table of (key, node, ...), items one of (node, data, ...). may(a, b) says of two members, whose columns a(name)
+    and b(name) give, whether they can be alike. check() tests stars, check_all() a Task.
     """
     rest = [c for c in members.columns if c not in ("key", "node")]
-    now, edges, labels, total = members, [], None, members.count()
-    for k in range(MAX_ROUNDS + 1):
-        order = F.xxhash64("node", F.lit(k))
-        lead = F.struct(order.alias("order"), "node", *rest, *(["label"] if k else []))
-        by = now.groupBy("key", *(["label"] if k else [])).agg(F.min(lead).alias("lead"), F.count("*").alias("n"))
-        if k:
-            by = by.groupBy("key").agg(F.min("lead").alias("lead"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels"))
-        keys = written(by.where("n > 1 AND labels > 1" if k else "n > 1"), "keys")
-        n, pairs_left = keys.agg(F.count("*"), F.coalesce(F.sum(F.expr("(n * n - same) / 2" if k else "n * n / 2")), F.lit(0))).first()
-        if not n:
+    now, edges, labels = members, [], None
+    for k in range(STARS + 1):
+        lead = F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", *rest, *(["label"] if k else []))
+        apart = F.min("label") != F.max("label") if k else F.lit(True)
+        keys = now.groupBy("key").agg(F.min(lead).alias("lead"), F.count("*").alias("n"), apart.alias("apart")).where("n > 1 AND apart")
+        keys = written(keys, "keys")
+        if keys.isEmpty():
             dropped(keys)
             break
-        if k and (pairs_left <= PAIRS_A_MEMBER * total or k == MAX_ROUNDS):
-            own = written(now.join(keys.select("key"), "key"), "open")
-            other = own.select([F.col(c).alias(f"{c}_2") for c in own.columns])
-            alike = (F.col("node") < F.col("node_2")) & (F.col("label") != F.col("label_2")) & (may_of_all or may)(F.col, lambda c: F.col(f"{c}_2"))
-            pairs = own.join(other, (F.col("key") == F.col("key_2")) & alike).select(F.col("node").alias("u"), F.col("node_2").alias("v"))
+        if k == STARS:
+            edges.append(_blocks(now.join(keys.select("key"), "key", "left_semi"), keys, items, check_all))
         else:
-            own = None
             differs = F.col("node") != F.col("lead.node")
             differs = differs & (F.col("label") != F.col("lead.label")) if k else differs
             pairs = now.join(keys.select("key", "lead"), "key").where(differs & may(F.col, lambda c: F.col(f"lead.{c}")))
-            pairs = pairs.select(F.col("lead.node").alias("u"), F.col("node").alias("v"))
-        edges.append(verified(pairs, items, check, block))
+            edges.append(verified(pairs.select(F.col("lead.node").alias("u"), F.col("node").alias("v")), items, check, block))
         every = edges[0]
         for e in edges[1:]:
             every = every.union(e)
         if labels is not None:
             dropped(labels)
         labels = components(every, "linked")
-        last = now.join(keys.where("n > 2").select("key"), "key", "left_semi").drop("label")  # the one pair of a key of two is tested
-        following = None if own is not None else written(_labelled(last, labels), "members")
-        dropped(keys, *([own] if own is not None else []), *([now] if k else []))
-        if own is not None:
+        if k == STARS:
+            dropped(keys, now)
             break
+        last = now.join(keys.where("n > 2").select("key"), "key", "left_semi").drop("label")  # the one pair of a key of two is tested
+        following = written(_labelled(last, labels), "members")
+        dropped(keys, *([now] if k else []))
         now = following
     if labels is None:
         labels = components(members.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0), "linked")

@@ -102,8 +102,7 @@ def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokens.document_counts(table(spark, sf_dir, "documents"))
-    return found.select(F.regexp_replace("file", r"^part-(\d+)-.*-(c\d+)\..*$", "$1-$2").alias("file"), "doc_no", "n_tokens")
+    return tokens.document_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
 
 
 QUERIES = {

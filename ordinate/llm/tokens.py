@@ -130,10 +130,20 @@ def counts(blocks: DataFrame, width: int = 2, end: int = END) -> DataFrame:
 
 
 def document_counts(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
-    """(file, doc_no, n_tokens): docs tokenised, written as flat files, and counted again by their separators.
+    """(doc_id, file, doc_no, n_tokens): docs tokenised, written as flat files, and counted again by their separators.
 
-    A null or empty text is a document of 0 tokens; repeated rows are documents of their own.
+    A flat file has no ids. Which document is which follows from the order of writing: docs must be a plain scan (a table), whose rows
+    come to the same tasks in the same order again; a document without its count fails the job. A null or empty text is a
+    document of 0 tokens; repeated rows are documents of their own; texts of any length are counted whole; an empty table gives none.
     """
     path = new_path(docs.sparkSession, "flat")
     write_flat(encoded(docs.select("text"), vocabulary), path, end=end)
-    return counts(read_blocks(docs.sparkSession, path), end=end)
+    name = F.regexp_extract("file", r"^part-(\d+)-.*-c(\d+)\.[^.]*$", F.lit(1)), F.regexp_extract("file", r"^part-(\d+)-.*-c(\d+)\.[^.]*$", F.lit(2))
+    part, nth = (x.cast("bigint") for x in name)
+    found = counts(read_blocks(docs.sparkSession, path), end=end)
+    found = found.select(part.alias("part"), (nth * ROWS_A_FILE + F.col("doc_no")).alias("row"), "n_tokens")
+    at = F.monotonically_increasing_id()
+    ids = docs.select("doc_id", F.shiftright(at, 33).alias("file"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("doc_no"))
+    both = ids.join(found, (F.col("file") == F.col("part")) & (F.col("doc_no") == F.col("row")), "left")
+    counted = F.when(F.col("n_tokens").isNull(), F.raise_error(F.lit("a document without a count")).cast("bigint")).otherwise(F.col("n_tokens"))
+    return both.select("doc_id", "file", "doc_no", counted.alias("n_tokens"))

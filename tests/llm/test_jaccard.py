@@ -1,10 +1,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ordinate.llm import jaccard as J
+from ordinate.llm import links
 
 from .helpers import docs, table
 
@@ -55,6 +57,7 @@ def near_copies(seed, n, words, edits):
 def test_against_brute_force(spark, monkeypatch, block):
     """Groups around the threshold, a large group over many blocks, a line that most documents share, exact copies."""
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(links, "SIDE", block)
     r, rows = random.Random(1), []
     for seed in range(12):
         rows += near_copies(seed, 6, 60, 5)
@@ -72,6 +75,23 @@ def test_against_brute_force_on_the_fixture(spark, sf_dir):
     assert run(spark, rows) == brute(rows)
 
 
+def test_a_chain_of_shared_shingles(spark):
+    """Ten thousand documents, each with a passage of the one before and one of the one after: not similar, so each is its own."""
+    passage = lambda k: " ".join(f"p{k}x{i}" for i in range(12))
+    rows = [(k, f"{passage(k)} {passage(k + 1)}") for k in range(10_000)]
+    got = J.cluster(docs(spark, rows))
+    assert got.where("component_id != doc_id OR n_shingles != 20").count() == 0 and got.count() == 10_000
+
+
+def test_divide_skip():
+    r = random.Random(4)
+    for _ in range(200):
+        query = sorted(r.sample(range(60), r.randint(1, 40)))
+        sets = [sorted(r.sample(range(60), r.randint(1, 40))) for _ in range(r.randint(1, 9))] + [query]
+        want = [k for k, s in enumerate(sets) if 100 * len({*s} & {*query}) >= 75 * len({*s} | {*query})]
+        assert J.divide_skip(np.array(query, np.uint64), [np.array(s, np.uint64) for s in sets]) == want
+
+
 def test_edges(spark):
     long = "y " * 300 + " ".join(f"z{k}" for k in range(30000))
     rows = [(1, None), (1, None), (2, ""), (3, " \t\n"), (None, "a b c d e f g"), (9, "A B C D E F G"), (9, "A B C D E F G"), (None, None), (4, long), (5, long), (None, "only null"), (None, "ONLY null")]

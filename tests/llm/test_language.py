@@ -39,7 +39,7 @@ def brute(rows):
         return out
 
     hosts = [h.lower() if h is not None else None for _, _, h in rows]
-    domains = [".".join(h.split(".")[-2:]) if h is not None else None for h in hosts]
+    domains = [".".join(h.split(".")[-2:]) if h is not None and "." in h else None for h in hosts]
     suffixes = [h.split(".")[-1] if h is not None and "." in h else None for h in hosts]
     n_h, n_d, n_s, n_c = by(hosts), by(domains), by(suffixes), by([d for _, d, _ in rows])
     smooth = lambda c, p: (c + L.KAPPA * p) / (c.sum() + L.KAPPA)
@@ -50,7 +50,7 @@ def brute(rows):
         if x is None:
             out.append((L.UNDETERMINED, 0.0))
             continue
-        j = x + np.log(smooth(n_h[h], smooth(n_d[d], base)) if h is not None else base)
+        j = x + np.log(smooth(n_h[h], smooth(n_d[d], base) if d is not None else base) if h is not None else base)
         j += like(n_c[c], len(n_c)) if c in n_c else 0
         j += like(n_s[s], len(n_s)) if s in n_s else 0
         p = np.exp(j - j.max())

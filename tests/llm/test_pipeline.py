@@ -42,6 +42,19 @@ def test_stages_keep_columns_and_bear_edges(spark, sf_dir):
         assert d.count() <= given.count()
 
 
+def test_columns_of_any_name_stay(spark, sf_dir):
+    """Names that operators use for their own columns."""
+    from pyspark.sql import functions as F
+
+    names = ["language", "confidence", "accepted", "n_lines", "n_removed", "_lang", "component_id", "contaminated", "node", "topic"]
+    given = docs(spark, [(1, "plain words that are here and nowhere else", "en", "s"), (2, "other words of another text, which stays", "en", "s")])
+    given = given.withColumns({c: F.lit(f"mine {c}") for c in names})
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        got = stage(spark, given, sf_dir).collect()
+        mine = names[:-1] if k == len(pipeline.STAGES) - 1 else names
+        assert (k == 4 or len(got) == 2) and all(r[c] == f"mine {c}" for r in got for c in mine)
+
+
 def test_names():
     assert [n for n, _ in pipeline.STAGES] == ["language ID", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights"]
     assert decontaminate.WINDOW == 10

@@ -34,6 +34,6 @@ def test_flat_files(spark, tmp_path, monkeypatch, block, run, width):
 def test_edges(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "a"), (3, "x" * 50000), (4, "line\nline\r\n é中")]
     e = T.encoder(T.VOCABULARY)
-    got = sorted(r.n_tokens for r in T.document_counts(docs(spark, rows)).collect())
-    assert got == sorted(len(e.encode_ordinary(t or "")) for _, t in rows)
+    got = sorted([(r.doc_id, r.n_tokens) for r in T.document_counts(docs(spark, rows)).collect()], key=str)
+    assert got == sorted([(i, len(e.encode_ordinary(t or ""))) for i, t in rows], key=str)
     assert T.document_counts(docs(spark, [])).count() == 0
