@@ -138,8 +138,7 @@ def document_counts(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = EN
     """
     path = new_path(docs.sparkSession, "flat")
     write_flat(encoded(docs.select("text"), vocabulary), path, end=end)
-    name = F.regexp_extract("file", r"^part-(\d+)-.*-c(\d+)\.[^.]*$", F.lit(1)), F.regexp_extract("file", r"^part-(\d+)-.*-c(\d+)\.[^.]*$", F.lit(2))
-    part, nth = (x.cast("bigint") for x in name)
+    part, nth = (F.regexp_extract("file", r"^part-(\d+)-.*-c(\d+)\.[^.]*$", k).cast("bigint") for k in (1, 2))
     found = counts(read_blocks(docs.sparkSession, path), end=end)
     found = found.select(part.alias("part"), (nth * ROWS_A_FILE + F.col("doc_no")).alias("row"), "n_tokens")
     at = F.monotonically_increasing_id()
