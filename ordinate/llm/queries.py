@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, extraction, jaccard, language, lines, mixing, quality, tokens, urls
+from . import decontaminate, embeddings, extraction, jaccard, language, lines, mixing, negatives, periodic, quality, tokens, urls, warc
+from .common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,7 +106,34 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.detect(docs).withColumn("best", periodic.longest(F.col("runs")))
+    lines_ = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines_, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    found = warc.records(spark, folder, content=False).where("record_type IN ('response', 'revisit')")
+    refers = warc.page_of("warc-refers-to-page-id")
+    return found.select(warc.page_of("warc-page-id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"), "target_uri", "intact")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = negatives.integers(table(spark, sf_dir, "embeddings"))
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
+    "op11_periodic": op11_periodic,
+    "op12_warc": op12_warc,
+    "op13_negatives": op13_negatives,
     "op2_tokens": op2_tokens,
     "op10_extraction": op10_extraction,
     "op9_embeddings": op9_embeddings,
@@ -122,6 +150,30 @@ QUERIES = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op12_warc": r"""
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, first_value(page_id) OVER w AS least, row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY payload ORDER BY page_id NULLS LAST))
+SELECT page_id, octet_length(payload) AS payload_bytes,
+       translate(array_to_string(list_transform(range(8), lambda k: to_base(CAST('0x' || substr(h, CAST(1 + 5 * k AS INT), 5) AS BIGINT), 32, 4)), ''),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN least END AS refers_to,
+       url AS target_uri, true AS intact
+FROM r
+""",
+    "op13_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+s AS MATERIALIZED (
+  SELECT a.r AS a, a.vec_id AS anchor_id, a.label = v.label AS same, v.r, v.vec_id, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score
+  FROM v a JOIN v ON a.r != v.r AND len(a.e) = len(v.e) WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.a, p.r ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3
+""",
     "op6_jaccard": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(string_split_regex({_LOWER.format("text")}, '[\x20\x09-\x0D]+'), lambda x: x != '') AS w FROM documents),
