@@ -1,7 +1,7 @@
 """Hard-negative mining by blocked dense matrix products.
 
-Vectors are packed in blocks, and those of the anchors in blocks of their own, of ANCHOR_BYTES at most. Each block of anchors is
-broadcast in turn and multiplied with all blocks of candidates, in double precision, which is exact for integers below 2^53. A first pass keeps
+Vectors are packed in blocks, and those of the anchors in blocks of their own. As many of these as have ANCHOR_BYTES at most are
+broadcast at a time and multiplied with all blocks of candidates, in double precision, which is exact for integers below 2^53. A first pass keeps
 each anchor's best positives of a task, which merge; a second one the best negatives within the window of each positive's score.
 """
 
@@ -178,6 +178,24 @@ def _negatives(sent, most: int, low: int, high: int):
     return run
 
 
+def _rounds(asked: DataFrame) -> list[list[int]]:
+    """The blocks of each round: of one dim, ANCHOR_BYTES of vectors at most. A line for each block comes to the driver."""
+    rounds, dim, size = [], None, 0
+    for r in asked.select("block", "dim", F.octet_length("vectors").alias("size")).orderBy("dim", "block").collect():
+        if not rounds or r["dim"] != dim or size + r["size"] > ANCHOR_BYTES:
+            rounds.append([])
+            dim, size = r["dim"], 0
+        rounds[-1].append(r["block"])
+        size += r["size"]
+    return rounds
+
+
+def _joined(blocks: list[dict]) -> dict:
+    """Packed blocks as one."""
+    out = {"dim": blocks[0]["dim"]} | {c: b"".join(b[c] for b in blocks) for c in ("rows", "anchors", "vectors")}
+    return out | {c: [v for b in blocks for v in b[c]] for c in ("ids", "labels")}
+
+
 def _merged(found: DataFrame, most: int) -> DataFrame:
     """The best of all tasks' best, with their rank."""
     order = Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), F.asc_nulls_last("id"))
@@ -213,8 +231,8 @@ def mine(
     dealt = taken.repartitionByRange(1 + size // ANCHOR_BYTES, *order).sortWithinPartitions(*order)
     asked = written(dealt.mapInArrow(_pack(ANCHOR_BYTES, ANCHOR_BYTES, True), _PACKED_SQL), "asked")
     path = new_path(spark, "negatives")
-    for n in [r.block for r in asked.select("block").orderBy("block").collect()]:
-        row = asked.where(F.col("block") == n).toArrow().to_pylist()[0]  # ANCHOR_BYTES of vectors at most
+    for n, chosen in enumerate(_rounds(asked)):
+        row = _joined(asked.where(F.col("block").isin(chosen)).toArrow().to_pylist())  # ANCHOR_BYTES of vectors at most
         own = blocks.where(F.col("dim") == row["dim"])
         sent = spark.sparkContext.broadcast(row)
         best = written(_merged(own.mapInArrow(_positives(sent, positives), _FOUND), positives).drop("slot"), "positives")
@@ -230,13 +248,13 @@ def mine(
         named = named.join(found, (F.col("of") == F.col("anchor")) & (F.col("nth") == F.col("slot")))
         ids = taken.select(F.col("row"), F.col("id").alias("anchor_id"))
         out = named.join(ids, F.col("row") == F.col("anchor")).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
-        out.write.option("compression", "zstd").parquet(f"{path}/block={n}")
+        out.write.option("compression", "zstd").parquet(f"{path}/round={n}")
         dropped(best)
         sent.destroy()
         sent_scores.destroy()
     dropped(blocks, taken, asked)
     kind = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
-    return spark.read.schema(f"{kind}, block bigint").parquet(path).drop("block") if size else spark.createDataFrame([], kind)
+    return spark.read.schema(f"{kind}, round bigint").parquet(path).drop("round") if size else spark.createDataFrame([], kind)
 
 
 def integers(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
