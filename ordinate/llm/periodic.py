@@ -22,6 +22,8 @@ from .common import fresh, prepare, texts, written
 SHORTEST, EXPONENT = 12, 2
 #: Pairs of words that a task compares in one go; lags of a range at least, as each range is sent the whole text's word numbers.
 RANGE, LAGS = 1 << 27, 2048
+#: Ranges of a task, about.
+RANGES = 128
 #: Cells of a block of lags, so that it stays in the processor's cache; longest needle of the search for stretches.
 CELLS, NEEDLE = 1 << 16, 64
 
@@ -138,8 +140,10 @@ def _long(docs: DataFrame, text: str, names: dict[str, str], shortest: int, expo
     n = F.col(own).n
     lags = F.greatest(F.lit(LAGS), F.floor(F.lit(RANGE) / n)).cast("bigint")
     starts = F.when(n >= shortest, F.sequence(F.lit(1).cast("bigint"), F.floor(n / exponent), lags))
+    count = held.agg(F.sum(F.greatest(F.size(starts), F.lit(0)))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-count // RANGES))
     dealt = held.select(F.col(row).alias("row"), F.col(own).wide.alias("wide"), F.col(own).ids.alias("ids"), (lags - 1).alias("more"), F.explode(starts).alias("first"))
-    dealt = dealt.select("row", "first", (F.col("first") + F.col("more")).alias("last"), "wide", "ids").repartition("row", "first")
+    dealt = dealt.select("row", "first", (F.col("first") + F.col("more")).alias("last"), "wide", "ids").repartition(parts, "row", "first")
     found = dealt.mapInArrow(_range_task(shortest, exponent), "row bigint, start bigint, length bigint, period bigint")
     found = found.groupBy("row", "start", "length").agg(F.min("period").alias("period"))
     runs = found.groupBy("row").agg(F.collect_list(F.struct("start", "period", "length")).alias("runs"))
