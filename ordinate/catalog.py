@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .frame import TensorFrame, arange, causal_mask, eye
 from .functions import arrays, scalar
-from .operators import contraction, elemwise, indexing, movement, reduce, scan, sequence
+from .operators import contraction, elemwise, indexing, movement, packed, reduce, scan, sequence
 from .plans import adapters, autodiff, sampling, training
 from .sources import state
 from .sources.tables import centroids, event_sequences, read, vector_tensor, vectors
@@ -433,7 +433,7 @@ def ssm_scan_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SCAN)
 def ssm_scan_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: each user's recurrence over the hours between events, in chunks."""
-    df = sequence.scan(_scalar_scan(spark, sf_dir), ["user_id"], chunk=16)
+    df = packed.scan(_scalar_scan(spark, sf_dir), ["user_id"], chunk=16)
     return df.select("user_id", "t", r6(F.col("h")[0]).alias("h"))
 
 
@@ -461,7 +461,7 @@ def ssm_mimo(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = lambda a, b: F.array(F.array(a), F.array(b))
     df = event_sequences(spark, sf_dir).withColumns({"lam": F.lit(LAMBDA), "rate": F.lit(RATE)})
     df = df.withColumns({"b": pair(F.lit(1.0), F.lit(0.5)), "c": pair(F.lit(1.0), F.lit(-1.0)), "x": pair(F.col("x"), F.col("x") * 2)})
-    out = sequence.mimo_scan(df, ["user_id"], 2, chunk=32)
+    out = packed.scan(df, ["user_id"], rank=2, chunk=32)
     y = lambda k: (F.round(F.col("y")[k][0], 5) + 0.0).alias(f"y{k}")
     return out.select("user_id", "t", y(0), y(1))
 
@@ -486,11 +486,10 @@ SELECT l.user_id, l.t, round(sum(exp(l.a - r.a) * r.up) * cos(any_value(l.phi))
 FROM s l JOIN s r ON l.user_id = r.user_id AND r.t <= l.t GROUP BY l.user_id, l.t
 """)
 def ssm_rotational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of two values; B = C = (1, 0) turned back by the wrapped angle of each row."""
-    df = sequence.wrapped_angle(event_sequences(spark, sf_dir).withColumn("theta", F.lit(0.7)), ["user_id"])
-    turned = arrays.rotate_halves(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.cos("phi")), F.array(-F.sin("phi")))
-    df = df.withColumns({"x": F.array("x"), "b": turned, "c": turned, "lam": F.lit(LAMBDA), "rate": F.lit(RATE)})
-    return sequence.scan(df, ["user_id"], chunk=32).select("user_id", "t", (F.round(F.col("y")[0], 5) + 0.0).alias("y"))
+    """State of two values; B = C = (1, 0) turned back by the angle of each row."""
+    one = F.array(F.lit(1.0), F.lit(0.0))
+    df = event_sequences(spark, sf_dir).withColumns({"x": F.array("x"), "b": one, "c": one, "lam": F.lit(LAMBDA), "rate": F.lit(RATE), "theta": F.lit(0.7)})
+    return packed.scan(df, ["user_id"], theta="theta", chunk=32).select("user_id", "t", (F.round(F.col("y")[0], 5) + 0.0).alias("y"))
 
 
 @query(f"""
@@ -500,11 +499,11 @@ b AS ({SCAN.replace("round(sum(exp(l.a - r.a) * r.u), 6) + 0.0", "sum(exp(l.a -
 SELECT f.user_id, f.t, round(f.h + b.h, 6) + 0.0 AS h FROM f JOIN n USING (user_id) JOIN b ON b.user_id = f.user_id AND b.t = last - f.t
 """)
 def bidirectional_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _scalar_scan(spark, sf_dir)
+    df = settled(_scalar_scan(spark, sf_dir))
     last = df.groupBy("user_id").agg(F.max("t").alias("last"))
-    back = sequence.scan(df.join(last, "user_id").withColumn("t", F.col("last") - F.col("t")), ["user_id"], chunk=32)
+    back = packed.scan(df.join(last, "user_id").withColumn("t", F.col("last") - F.col("t")), ["user_id"], chunk=32).join(last, "user_id")
     back = back.select("user_id", (F.col("last") - F.col("t")).alias("t"), F.col("h")[0].alias("back"))
-    both = sequence.scan(df, ["user_id"], chunk=32).join(back, ["user_id", "t"])
+    both = packed.scan(df, ["user_id"], chunk=32).join(back, ["user_id", "t"])
     return both.select("user_id", "t", r6(F.col("h")[0] + F.col("back")).alias("h"))
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .catalog import CENTROIDS, EVENTS, KERNEL, LAMBDA, LONG, RATE, cells, event_sequences, r6, read
 from .frame import TensorFrame
 from .functions import scalar
-from .operators import elemwise, sequence
+from .operators import elemwise, packed, sequence
 from .plans import autodiff, blocks
 from .sources.tables import centroids, vector_tensor, vectors
+from .streaming import stateful
+from .streaming.run import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -134,6 +136,34 @@ def grad_linear_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(autodiff.backward(autodiff.sum_all(h))["u"])
 
 
+@query(f"""
+WITH e AS (SELECT user_id, t, x, dt, 1.0 + t % 3 AS g, (event_id % 3) / 3.0 AS b, (event_id % 5) / 5.0 AS c, greatest(-0.1 * dt, -60) AS d, sum(dt * 0.7) OVER (PARTITION BY user_id ORDER BY t) AS phi FROM {EVENTS}),
+r AS (SELECT *, cos(phi) AS co, sin(phi) AS si, cos(phi) + b * sin(phi) AS b0, b * cos(phi) - sin(phi) AS b1, cos(phi) + c * sin(phi) AS c0, c * cos(phi) - sin(phi) AS c1 FROM e),
+u AS (SELECT *, x * b0 AS u0, x * b1 AS u1, lag(x * b0, 1, 0) OVER w AS p0, lag(x * b1, 1, 0) OVER w AS p1, sum(d) OVER w AS a FROM r WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+i AS MATERIALIZED (SELECT *, 0.5 * dt * (exp(d) * p0 + u0) AS i0, 0.5 * dt * (exp(d) * p1 + u1) AS i1 FROM u),
+h AS (SELECT l.user_id, l.t, sum(exp(l.a - r.a) * r.i0) AS h0, sum(exp(l.a - r.a) * r.i1) AS h1 FROM i l JOIN i r ON l.user_id = r.user_id AND r.t <= l.t GROUP BY ALL),
+f AS (SELECT l.user_id, l.t, sum(exp(r.a - l.a) * r.g * r.c0) AS f0, sum(exp(r.a - l.a) * r.g * r.c1) AS f1 FROM i l JOIN i r ON l.user_id = r.user_id AND r.t >= l.t GROUP BY ALL),
+j AS (SELECT *, lag(h0, 1, 0) OVER w AS q0, lag(h1, 1, 0) OVER w AS q1, 0.5 * dt * f0 + lead(0.5 * dt * exp(d) * f0, 1, 0) OVER w AS z0, 0.5 * dt * f1 + lead(0.5 * dt * exp(d) * f1, 1, 0) OVER w AS z1,
+      f0 * p0 + f1 * p1 AS fb, f0 * u0 + f1 * u1 AS fu FROM i JOIN h USING (user_id, t) JOIN f USING (user_id, t) WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+k AS (SELECT *, CASE WHEN d > -60 AND d < 0 THEN (f0 * q0 + f1 * q1 + 0.5 * dt * fb) * exp(d) ELSE 0 END AS slope,
+      sum(x * (z0 * b1 - z1 * b0) + g * (h0 * c1 - h1 * c0)) OVER (PARTITION BY user_id ORDER BY t DESC) AS later FROM j)
+SELECT user_id, t, round(z0 * b0 + z1 * b1 + 0.25 * g, 4) + 0.0 AS gx, round(x * (z0 * co - z1 * si), 4) + 0.0 AS gb0, round(x * (z1 * co + z0 * si), 4) + 0.0 AS gb1,
+       round(g * (h0 * co - h1 * si), 4) + 0.0 AS gc0, round(g * (h1 * co + h0 * si), 4) + 0.0 AS gc1, round(-0.1 * slope + 0.5 * exp(d) * fb + 0.5 * fu + 0.7 * later, 4) + 0.0 AS gdt,
+       round(dt * (fu - exp(d) * fb), 4) + 0.0 AS glam, round(slope * dt, 4) + 0.0 AS grate, round(dt * later, 4) + 0.0 AS gtheta FROM k
+""")
+def grad_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradients of all inputs of the whole scan, turning and with a skip, over all events; output t counts 1 + t % 3."""
+    df = event_sequences(spark, sf_dir)
+    df = df.select(
+        "user_id", "t", F.array("x").alias("x"), "dt", F.array(F.lit(1.0), F.pmod("event_id", F.lit(3)) / 3).alias("b"), F.array(F.lit(1.0), F.pmod("event_id", F.lit(5)) / 5).alias("c"),
+        F.lit(LAMBDA).alias("lam"), F.lit(RATE).alias("rate"), F.lit(0.7).alias("theta"), F.array(1.0 + F.col("t") % 3).alias("g"),
+    )
+    found = packed.gradients(df, ["user_id"], "g", skip=0.25, theta="theta", chunk=16)
+    r4 = lambda c, name: (F.round(c, 4) + 0.0).alias(name)
+    arrays_ = [r4(F.col("gx")[0], "gx"), *[r4(F.col(c)[k], f"{c}{k}") for c in ("gb", "gc") for k in (0, 1)]]
+    return found.select("user_id", "t", *arrays_, *[r4(F.col(c), c) for c in ("gdt", "glam", "grate", "gtheta")])
+
+
 @query(f"""
 SELECT i0, i1, round(v, 6) + 0.0 AS g, round(0.5 * v + CASE WHEN i1 > 0 THEN 0.5 * lag(v, 1, 0) OVER (PARTITION BY i0 ORDER BY i1) ELSE 0 END + 0.5 * v, 6) + 0.0 AS v
 FROM {LONG}
@@ -167,9 +197,10 @@ y AS (SELECT l.user_id, l.t, any_value(l.x) AS x, sum(exp(l.a - r.a) * r.up) * c
 
 def _resumed(df: DataFrame, at: int, **how) -> DataFrame:
     """The scan of sequences that are cut before row at, and go on from the states there."""
-    first = sequence.scan(df.where(F.col("t") < at), ["user_id"], chunk=16, **how)
+    df = settled(df)
+    first = settled(packed.scan(df.where(F.col("t") < at), ["user_id"], chunk=16, **how))
     rest = df.where(F.col("t") >= at).withColumn("t", F.col("t") - at)
-    rest = sequence.scan(rest, ["user_id"], chunk=16, state=sequence.final_states(first, ["user_id"]), **how)
+    rest = packed.scan(rest, ["user_id"], chunk=16, state=sequence.final_states(first, ["user_id"]), **how)
     return first.select("user_id", "t", "y").unionByName(rest.select("user_id", (F.col("t") + at).alias("t"), "y"))
 
 
@@ -188,31 +219,62 @@ def ssm_rotational_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_turning('2 * x')} SELECT user_id, t, round(y + 0.25 * x, 5) + 0.0 AS y0, round(-y + 0.5 * x, 5) + 0.0 AS y1 FROM y")
 def ssm_mimo_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two inputs x and 2 x with B = (1, 0) and (1/2, 0), outputs by C = (1, 0) and (-1, 0), turning, with a skip, cut and resumed."""
+    out = _resumed(_two_inputs(spark, sf_dir), 5, theta="theta", skip=0.25, rank=2)
+    return out.select("user_id", "t", *[(F.round(F.col("y")[k][0], 5) + 0.0).alias(f"y{k}") for k in (0, 1)])
+
+
+def _two_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _one_row([1.0, 0.0], spark, sf_dir)
     two = lambda a, b: F.array(F.array(*[F.lit(v) for v in a]), F.array(*[F.lit(v) for v in b]))
-    df = df.withColumns({"b": two([1.0, 0.0], [0.5, 0.0]), "c": two([1.0, 0.0], [-1.0, 0.0]), "x": F.array(F.array("x"), F.array(F.col("x") * 2))})
-    out = _resumed(df, 5, theta="theta", skip=0.25, rank=2)
-    return out.select("user_id", "t", *[(F.round(F.col("y")[k][0], 5) + 0.0).alias(f"y{k}") for k in (0, 1)])
+    return df.withColumns({"b": two([1.0, 0.0], [0.5, 0.0]), "c": two([1.0, 0.0], [-1.0, 0.0]), "x": F.array(F.array("x"), F.array(F.col("x") * 2))})
 
 
-@query(f"""
+GROUPED = f"""
 WITH f AS (SELECT user_id, t, [x / 100.0, (event_id % 7) / 7.0, (event_id % 5) / 5.0, 0.5] AS q, [x / 100.0, (event_id % 3) / 3.0] AS k, [x / 10.0, t / 10.0] AS v FROM {EVENTS}),
 s AS (SELECT l.user_id, l.t, h, (list_dot_product(l.q[2 * h + 1 : 2 * h + 2], r.k)) * 0.5 AS z, r.v FROM f l JOIN f r ON l.user_id = r.user_id AND r.t <= l.t, range(2) u(h)),
 m AS (SELECT *, exp(z - max(z) OVER (PARTITION BY user_id, t, h)) AS e FROM s),
 o AS (SELECT user_id, t, h, round(sum(e * v[1]) / sum(e), 5) + 0.0 AS a, round(sum(e * v[2]) / sum(e), 5) + 0.0 AS b FROM m GROUP BY ALL)
 SELECT x.user_id, x.t, x.a AS o0, x.b AS o1, y.a AS o2, y.b AS o3 FROM o x JOIN o y ON x.user_id = y.user_id AND x.t = y.t AND x.h = 0 AND y.h = 1
-""")
-def attention_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two heads that share keys and values; rows from the fourth on read the first three as a cache."""
+"""
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = event_sequences(spark, sf_dir)
     q = F.array(F.col("x") / 100, F.pmod("event_id", F.lit(7)) / 7, F.pmod("event_id", F.lit(5)) / 5, F.lit(0.5))
-    df = df.select("user_id", "t", q.alias("q"), F.array(F.col("x") / 100, F.pmod("event_id", F.lit(3)) / 3).alias("k"), F.array(F.col("x") / 10, F.col("t") / 10).alias("v"))
+    return df.select("user_id", "t", q.alias("q"), F.array(F.col("x") / 100, F.pmod("event_id", F.lit(3)) / 3).alias("k"), F.array(F.col("x") / 10, F.col("t") / 10).alias("v"))
+
+
+@query(GROUPED)
+def attention_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two heads that share keys and values; rows from the fourth on read the first three as a cache."""
+    df = _grouped(spark, sf_dir)
     how = {"scale": 0.5, "heads": 2, "groups": 1, "chunk": 8}
     first, rest = df.where("t < 3"), df.where("t >= 3")
     both = sequence.attention(first, ["user_id"], "t", "q", "k", "v", **how).unionByName(sequence.attention(rest, ["user_id"], "t", "q", "k", "v", past=first, **how))
     return both.select("user_id", "t", *[(F.round(F.col("o")[i], 5) + 0.0).alias(f"o{i}") for i in range(4)])
 
 
+@query(GROUPED)
+def stream_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same attention on a stream that is stopped twice and goes on with its cache."""
+    df = settled(_grouped(spark, sf_dir))
+    parts = [df.where("t < 3"), df.where("t >= 3 AND t < 20"), df.where("t >= 20")]
+    found = stateful.in_parts(parts, lambda s: stateful.attention(s, ["user_id"], "t", "q", "k", "v", 0.5, heads=2, groups=1))
+    return found.select("user_id", "t", *[(F.round(F.col("o")[i], 5) + 0.0).alias(f"o{i}") for i in range(4)])
+
+
+@query(f"{_turning('2 * x')} SELECT user_id, t, round(y + 0.25 * x, 5) + 0.0 AS y0, round(-y + 0.5 * x, 5) + 0.0 AS y1 FROM y")
+def stream_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's first twenty rows by a batch scan with turning, two inputs and outputs and a skip, the rest as a stream, stopped once."""
+    df, how = settled(_two_inputs(spark, sf_dir)), {"theta": "theta", "skip": 0.25, "rank": 2}
+    first = settled(sequence.scan(df.where("t < 20"), ["user_id"], **how))
+    state = settled(stateful.last_states(first, ["user_id"]))
+    parts = [df.where("t >= 20 AND t < 40"), df.where("t >= 40")]
+    rest = stateful.in_parts(parts, lambda s: stateful.steps(s, ["user_id"], state=state, **how))
+    out = first.select("user_id", "t", "y").unionByName(rest.select("user_id", "t", "y"))
+    return out.select("user_id", "t", *[(F.round(F.col("y")[k][0], 5) + 0.0).alias(f"y{k}") for k in (0, 1)])
+
+
 # Blocks
 
 
