@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .frame import TensorFrame, arange, causal_mask, eye
 from .functions import arrays, scalar
-from .operators import contraction, elemwise, indexing, movement, packed, reduce, scan, sequence
+from .operators import contraction, elemwise, indexing, movement, packed, reduce, scan, sequence, tiles
 from .plans import adapters, autodiff, sampling, training
 from .sources import state
 from .sources.tables import centroids, event_sequences, read, vector_tensor, vectors
@@ -299,8 +299,17 @@ def take_along_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT a.i1 AS i0, b.i1, round(sum(a.v * b.v), 6) + 0.0 AS v FROM {LONG} a JOIN {LONG} b USING (i0) GROUP BY ALL")
 def matmul_tn_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By tiles that are cut from the vectors' arrays."""
+    rows, shape = vectors(spark, sf_dir), vector_tensor(spark, sf_dir).shape
+    x = tiles.Tiles.of_rows(rows, "vec_id", "x", shape)
+    return cells(tiles.matmul(x, x, transpose_a=True).frame())
+
+
+@query(f"SELECT a.i1 AS i0, b.i1, round(sum(a.v * tanh(b.v)), 6) + 0.0 AS v FROM {LONG} a JOIN {LONG} b USING (i0) GROUP BY ALL")
+def weight_grad_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradient of a matrix that follows the vectors, for gradients tanh(v) of what it gives, from tensor relations."""
     x = vector_tensor(spark, sf_dir)
-    return cells(contraction.matmul_tn(x, x))
+    return cells(tiles.weight_gradient(x, x.map(F.tanh), side=32))
 
 
 @query(f"SELECT i0, c AS i1, round(sum(a.v * b.v), 6) + 0.0 AS v FROM {LONG} a JOIN {CENTROIDS} b ON a.i1 = b.d GROUP BY ALL")

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from ..functions.arrays import dot, plus, rotate_halves
+from ..functions.arrays import plus, rotate_halves
 from ..functions.scalar import clamp, number, sigmoid, softplus, wrap_to
+from .attention import attention  # noqa: F401  (an operator of sequences, too)
 
 #: Rows of a chunk of the scan. Decays below exp(FLOOR) count as that.
 CHUNK, FLOOR = 64, -60.0
@@ -266,60 +267,6 @@ def conv_history(df: DataFrame, keys: list[str], t: str, x: str, size: int) -> D
     return df.withColumn("back", F.row_number().over(w)).where(F.col("back") < size).select(*keys, "back", F.col(x).alias("x"))
 
 
-def attention(
-    df: DataFrame, keys: list[str], t: str, q: str, k: str, v: str, scale: float, causal: bool = True, out: str = "o",
-    heads: int = 1, groups: int | None = None, past: DataFrame | None = None, chunk: int = CHUNK,
-) -> DataFrame:
-    """df with the attention of each row's query over the rows of its key, itself and those before if causal.
-
-    q holds the heads' queries one after another, k and v those of the groups; head h reads group h * groups // heads (groups: as
-    many as heads). past(keys, t, k, v) are rows from before, such as a cache of what was seen: t of df goes on after them.
-    Keys and values are packed to chunks; a row gets a partial softmax from each chunk, and the partial ones are added up. Work
-    grows with the square of a sequence, rows with the square over the chunk's length.
-    """
-    groups = groups or heads
-    if heads % groups:
-        raise ConfigError(f"{heads} heads for {groups} groups")
-    seen = df.select(*keys, t, k, v)
-    seen = seen if past is None else seen.unionByName(past.select(*keys, t, k, v))
-    packed = seen.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.floor(F.col(t) / chunk).alias("_chunk"))
-    packed = packed.agg(F.collect_list(F.struct(F.col(t).alias("t"), F.col(k).alias("k"), F.col(v).alias("v"))).alias("_rows"))  # chunk rows
-    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)] + ([F.col("_chunk") * chunk <= F.col(t)] if causal else [])
-    met = df.select(*keys, t, q).join(packed, on)
-    met = met.withColumn("_rows", F.filter("_rows", lambda r: r["t"] <= F.col(t)) if causal else F.col("_rows")).where(F.size("_rows") > 0)
-    wide, deep = (F.size(q) / heads).cast("int"), (F.size(F.col("_rows")[0]["v"]) / groups).cast("int")
-
-    def part(head: int) -> Column:
-        group = head * groups // heads
-        own = F.slice(q, head * wide + 1, wide)
-        scores = F.transform("_rows", lambda r: dot(own, F.slice(r["k"], group * wide + 1, wide)) * scale)
-        values = F.transform("_rows", lambda r: F.slice(r["v"], group * deep + 1, deep))
-        return F.struct(scores.alias("s"), values.alias("v"))
-
-    def softened(p: Column) -> Column:
-        top = F.array_max(p["s"])
-        e = F.transform(p["s"], lambda s: F.exp(s - top))
-        zeros = F.transform(p["v"][0], lambda _: number(0))
-        sums = F.aggregate(F.zip_with(e, p["v"], lambda w, x: F.struct(w.alias("w"), x.alias("x"))), zeros, lambda s, r: F.zip_with(s, r["x"], lambda a, b: a + r["w"] * b))
-        return F.struct(top.alias("top"), F.aggregate(e, number(0), lambda s, w: s + w).alias("total"), sums.alias("sums"))
-
-    partial = met.select(*keys, t, F.transform(F.array(*[part(h) for h in range(heads)]), softened).alias("_p"))
-    merged = partial.groupBy(*keys, t).agg(F.collect_list("_p").alias("_ps"))  # one for each chunk before the row
-
-    def whole(head: int) -> Column:
-        own = F.transform("_ps", lambda p: p[head])
-        top = F.array_max(F.transform(own, lambda p: p["top"]))
-        zero = F.struct(number(0).alias("total"), F.transform(own[0]["sums"], lambda _: number(0)).alias("sums"))
-        both = F.aggregate(own, zero, lambda s, p: F.struct(
-            (s["total"] + F.exp(p["top"] - top) * p["total"]).alias("total"), F.zip_with(s["sums"], p["sums"], lambda a, b: a + F.exp(p["top"] - top) * b).alias("sums")
-        ))
-        return F.transform(F.array(both), lambda b: F.transform(b["sums"], lambda x: x / b["total"]))[0]
-
-    found = merged.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col(t).alias("_t"), F.concat(*[whole(h) for h in range(heads)]).alias(out))
-    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)] + [F.col(t) == F.col("_t")]
-    return df.join(found, on).select(*df.columns, out)
-
-
 def discretised(raw_dt: Column, bias: float, raw_lambda: Column | None, fixed: float | None = None) -> tuple[Column, Column]:
     """(dt, lambda) of raw projections: softplus with a bias; a sigmoid, or 1 (Euler), 1/2 (trapezoid) or what fixed says."""
     if (raw_lambda is None) == (fixed is None):

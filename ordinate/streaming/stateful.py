@@ -21,6 +21,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..errors import ConfigError
 from ..functions.scalar import number
+from ..operators.attention import Partial
 from .run import shared_path
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -89,18 +90,11 @@ class _Attention(StatefulProcessor):
 
     def _over(self, t: np.ndarray, q: np.ndarray) -> np.ndarray:
         """The attention of a block of queries, piece by piece of what was seen, with a running maximum."""
-        n, h, g = len(t), self.heads, self.groups
-        q = q.reshape(n, g, h // g, -1)
-        top, total, sums = np.full((n, g, h // g), -np.inf), np.zeros((n, g, h // g)), 0.0
+        held = None
         for at, k, v in self.seen.get():
-            at, m = np.array(at), len(at)
-            k, v = np.array(k).reshape(m, g, -1), np.array(v).reshape(m, g, -1)
-            score = np.where((at <= t[:, None])[:, None, None, :], np.einsum("nghw,mgw->nghm", q, k) * self.scale, -np.inf)
-            new = np.maximum(top, score.max(-1))
-            safe = np.where(np.isfinite(new), new, 0.0)  # no key yet
-            weight, kept = np.exp(score - safe[..., None]), np.exp(top - safe)
-            total, sums, top = total * kept + weight.sum(-1), sums * kept[..., None] + np.einsum("nghm,mgd->nghd", weight, v), new
-        return (sums / total[..., None]).reshape(n, -1)
+            own = Partial.of(q, np.array(k).reshape(len(at), -1), np.array(v).reshape(len(at), -1), np.array(at) <= t[:, None], self.scale, self.heads, self.groups)
+            held = own if held is None else held.merged(own)
+        return held.out()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.last.get()[0] if self.last.exists() else None
