@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from .catalog import CENTROIDS, EVENTS, KERNEL, LAMBDA, LONG, RATE, cells, event
 from .frame import TensorFrame
 from .functions import scalar
 from .operators import elemwise, packed, sequence
-from .plans import autodiff, blocks
+from .plans import autodiff, blocks, sampling
 from .sources.tables import centroids, vector_tensor, vectors
 from .streaming import stateful
 from .streaming.run import settled
@@ -296,3 +297,29 @@ def positional_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = vector_tensor(spark, sf_dir)
     some = TensorFrame(x.df.where("i0 < 50"), (50, x.shape[1]))
     return cells(blocks.positional(some, x, start=2))
+
+
+# Generation
+
+
+@query(f"""
+WITH RECURSIVE c AS MATERIALIZED (SELECT list(x ORDER BY c) AS e FROM (SELECT c, list(v ORDER BY d) AS x FROM {CENTROIDS} GROUP BY c)),
+p AS (SELECT conv_id AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, length(text) % 10 AS token FROM conversations WHERE text IS NOT NULL),
+h AS (SELECT seq, max(pos) AS last FROM p GROUP BY seq),
+s AS (SELECT p.seq, i, any_value(last) AS last, sum(pow(0.5, last - pos) * e[token + 1][i + 1]) AS v FROM p JOIN h USING (seq), c, range(64) r(i) GROUP BY p.seq, i),
+g AS (
+  SELECT seq, last AS pos, list(v ORDER BY i) AS h, CAST(NULL AS BIGINT) AS token, last FROM s GROUP BY seq, last
+  UNION ALL
+  SELECT seq, pos + 1, list_transform(range(64), lambda i: 0.5 * h[i + 1] + e[best + 1][i + 1]), best, last
+  FROM (SELECT g.*, e, list_position(list_transform(e, lambda x: -list_dot_product(x, h)), list_max(list_transform(e, lambda x: -list_dot_product(x, h)))) - 1 AS best FROM g, c)
+  WHERE pos < last + 6)
+SELECT seq, pos, token FROM g WHERE token IS NOT NULL
+""")
+def generate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six tokens after each conversation, whose tokens are its turns' lengths modulo 10: greedily what is least like the state so far."""
+    mean = np.array(centroids(spark, sf_dir).to_data()).reshape(10, -1)
+    turns = read(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    prompts = sequence.positions(turns, ["conv_id"], ["turn"], "pos", parts=F.floor(F.col("turn") / 1000))
+    prompts = prompts.select(F.col("conv_id").alias("seq"), "pos", (F.char_length("text") % 10).alias("token"))
+    model = sampling.ScanModel(mean, -mean, 0.5)
+    return sampling.generate_with_state(model.prefill(prompts), model.advance, sampling.Sampler(temperature=0), most=6)
