@@ -642,11 +642,12 @@ p AS (SELECT i0, c, exp(z - max(z) OVER (PARTITION BY i0)) / sum(exp(z)) OVER (P
 SELECT i1 AS i0, c AS i1, round(sum(v * e) / any_value(n), 6) + 0.0 AS g FROM l JOIN p USING (i0), n GROUP BY l.i1, c
 """)
 def linear_ce_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gradient of a linear classifier's mean loss, by the reverse-mode plan."""
+    """The gradient of a linear classifier's mean loss, by the reverse-mode plan; what is used twice is written."""
     x = vector_tensor(spark, sf_dir)
     w = autodiff.Var(TensorFrame.generated(spark, (64, 10), lambda d, c: F.pmod(d * 3 + c * 5, F.lit(13)) / 13.0 - 0.5), "w")
     hot = indexing.one_hot(TensorFrame.of(vectors(spark, sf_dir), ["vec_id"], "label", x.shape[:1]), 10)
-    return cells(autodiff.backward(autodiff.cross_entropy(autodiff.matmul(autodiff.Var(x), w), hot))["w"], "g")
+    with autodiff.written(settled):
+        return cells(autodiff.backward(autodiff.cross_entropy(autodiff.matmul(autodiff.Var(x), w), hot))["w"], "g")
 
 
 # Sampling and language modelling

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from .catalog import CENTROIDS, EVENTS, KERNEL, LAMBDA, LONG, RATE, cells, event_sequences, r6, read
 from .frame import TensorFrame
 from .functions import scalar
+from .functions.permutation import PRIME, Permutation
 from .operators import elemwise, packed, sequence
-from .plans import autodiff, blocks, sampling
+from .plans import autodiff, blocks, sampling, training
 from .sources.tables import centroids, vector_tensor, vectors
-from .streaming import stateful
+from .streaming import ranges, stateful
 from .streaming.run import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,9 +120,10 @@ def grad_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import contraction
 
     x = vector_tensor(spark, sf_dir)
-    z = autodiff.Var(contraction.matmul_nt(x, centroids(spark, sf_dir)), "z")
     classes = TensorFrame.of(vectors(spark, sf_dir), ["vec_id"], "label", x.shape[:1])
-    g = autodiff.backward(autodiff.cross_entropy(z, classes, 0.1, ignored=3))["z"]
+    with autodiff.written(settled):
+        z = autodiff.Var(contraction.matmul_nt(x, centroids(spark, sf_dir)), "z")
+        g = autodiff.backward(autodiff.cross_entropy(z, classes, 0.1, ignored=3))["z"]
     return g.df.select("i0", "i1", (F.round("v", 8) + 0.0).alias("v"))
 
 
@@ -323,3 +325,85 @@ def generate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = prompts.select(F.col("conv_id").alias("seq"), "pos", (F.char_length("text") % 10).alias("token"))
     model = sampling.ScanModel(mean, -mean, 0.5)
     return sampling.generate_with_state(model.prefill(prompts), model.advance, sampling.Sampler(temperature=0), most=6)
+
+
+# Training
+
+
+def _steps_sql(n: int) -> str:
+    """Steps of gradient descent on the mean squared error of a linear map to the label, written out."""
+    ctes = [f"l AS MATERIALIZED {LONG}", "n AS (SELECT count(*) AS n FROM embeddings)", "w0 AS (SELECT d, 0.0 AS w FROM range(64) r(d))"]
+    for k in range(n):
+        ctes += [
+            f"e{k} AS MATERIALIZED (SELECT i0, sum(v * w) - any_value(label) AS e FROM l JOIN w{k} ON i1 = d GROUP BY i0)",
+            f"g{k} AS MATERIALIZED (SELECT i1 AS d, 2 * sum(v * e) / any_value(n) AS g FROM l JOIN e{k} USING (i0), n GROUP BY i1)",
+            f"s{k} AS (SELECT (SELECT avg(e * e) FROM e{k}) AS loss, sqrt(sum(g * g)) AS norm FROM g{k})",
+            f"w{k + 1} AS MATERIALIZED (SELECT d, w - 0.3 * least(1, 1 / (norm + 1e-6)) * g AS w FROM w{k} JOIN g{k} USING (d), s{k})",
+        ]
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT {k + 1} AS step, round(loss, 6) AS loss, round(norm, 6) AS norm, round(least(1, 1 / (norm + 1e-6)), 6) AS factor FROM s{k}" for k in range(n))
+
+
+@query(_steps_sql(4))
+def train_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four steps of a linear map from vectors to labels, by gradients of the reverse-mode plan: what each step reports."""
+    x = settled(vector_tensor(spark, sf_dir).df)
+    shape = vector_tensor(spark, sf_dir).shape
+    given = autodiff.Var(TensorFrame(x, shape))
+    labels = autodiff.Var(TensorFrame.of(vectors(spark, sf_dir).withColumn("one", F.lit(0)), ["vec_id", "one"], "label", (shape[0], 1)))
+
+    def loss(params: DataFrame) -> autodiff.Var:
+        w = TensorFrame.of(params.withColumn("one", F.lit(0)), ["idx", "one"], "v", (shape[1], 1))
+        return autodiff.mse(autodiff.matmul(given, autodiff.Var(w, "w")), labels)
+
+    def gradients(params: DataFrame, _: DataFrame) -> DataFrame:
+        return autodiff.backward(loss(params))["w"].df.select(F.lit("w").alias("param"), F.col("i0").alias("idx"), F.col("v").alias("g"))
+
+    trainer = training.Trainer(training.Sgd(), gradients, lambda p, _: loss(p).tensor.df.select("v"), settled, training.Schedule(), learning_rate=0.3)
+    params = training.parameters(spark.range(shape[1]).select(F.lit("w").alias("param"), F.col("id").alias("idx"), F.lit(0.0).alias("v")))
+    trainer.fit(params, [x] * 4)
+    return trainer.report.table(spark).select("step", *[F.round(c, 6).alias(c) for c in ("loss", "norm", "factor")])
+
+
+# Permutations
+
+
+def _permuted_sql(n: int, seed: int) -> str:
+    """The rounds written out; numbers on spare cells are moved again."""
+    p = Permutation(n, seed)
+    a, b = p.sides
+
+    def moved(of: str) -> str:
+        out = f"SELECT i, v % {a} AS l, v // {a} AS r FROM ({of})"
+        for k, (k0, k1, k2) in enumerate(p.keys):
+            v, other, m = ("l", "r", b) if k % 2 else ("r", "l", a)
+            out = f"SELECT i, l, r, ({v} % {PRIME} * {k0} + {k1}) % {PRIME} AS h FROM ({out})"
+            out = f"SELECT i, {v}, ({other} + xor(h, h >> 15) % {PRIME} * {k2} % {PRIME}) % {m} AS {other} FROM ({out})"
+        return f"SELECT i, l + r * {a} AS v FROM ({out})"
+
+    return f"""WITH RECURSIVE w AS ({moved("SELECT event_id AS i, event_id AS v FROM events WHERE event_id < " + str(n))} UNION ALL {moved(f"SELECT i, v FROM w WHERE v >= {n}")})
+SELECT event_id, v AS at, CASE WHEN v IS NOT NULL THEN event_id END AS back FROM events LEFT JOIN (SELECT i, v FROM w WHERE v < {n}) ON i = event_id"""
+
+
+#: What the query permutes: numbers below this; event ids beyond it have no place.
+PLACES = 9_973
+
+
+@query(_permuted_sql(PLACES, 11))
+def keyed_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each event in a shuffled order of the first 9,973 ids, and back."""
+    p = Permutation(PLACES, 11)
+    placed = read(spark, sf_dir, "events").select("event_id", p.forward(F.col("event_id")).alias("at"))
+    return placed.select("event_id", "at", p.inverse(F.col("at")).alias("back"))
+
+
+@query(f"""
+WITH b AS (SELECT event_id % 3 AS k, min(value) AS low, max(value) AS high FROM events WHERE value IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (ORDER BY k) AS i, count(*) OVER () AS n FROM b)
+SELECT round(sum(low * CASE WHEN i = 1 THEN 1 ELSE 0.25 END * pow(0.75, n - i)), 6) AS low, round(sum(high * CASE WHEN i = 1 THEN 1 ELSE 0.25 END * pow(0.75, n - i)), 6) AS high, max(n) AS batches FROM r
+""")
+def stream_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moving range of events' values, a third of them in each of three runs of a stream."""
+    events = read(spark, sf_dir, "events").select("event_id", "value")
+    parts = [events.where(F.pmod("event_id", F.lit(3)) == k) for k in range(3)]
+    found = ranges.observed_in_parts(parts, "value", 0.25)
+    return found.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "batches")

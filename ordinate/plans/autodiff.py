@@ -1,7 +1,7 @@
 """Reverse-mode gradients of tensor relations.
 
 A Var wraps a TensorFrame and remembers how it came about; backward() walks the graph from a scalar and builds, for each
-leaf, the DataFrame plan of its gradient. Nothing runs until a gradient is read. Ids grow, so descending ids are a
+leaf, the DataFrame plan of its gradient. Nothing runs until a gradient is read, but within written(). Ids grow, so descending ids are a
 reverse topological order.
 """
 
@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from itertools import count
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import shape as S
@@ -22,6 +23,7 @@ from ..operators import contraction, elemwise, indexing, movement, reduce, scan
 
 _ids = count()
 _enabled: ContextVar[bool] = ContextVar("enabled", default=True)
+_settling: ContextVar[tuple] = ContextVar("settling", default=(None, 0))
 
 
 @contextmanager
@@ -34,11 +36,31 @@ def no_grad():
         _enabled.reset(token)
 
 
+@contextmanager
+def written(settle: Callable[[DataFrame], DataFrame], most: int = 4):
+    """Within it, a tensor or a gradient whose plan reads more than most tables is written by settle, once, and its users share the table.
+
+    Without it, plans are only built, and each use of a tensor is another copy of its plan.
+    """
+    token = _settling.set((settle, most))
+    try:
+        yield
+    finally:
+        _settling.reset(token)
+
+
+def _shared(t: TensorFrame) -> TensorFrame:
+    settle, most = _settling.get()
+    if settle is None or t.df._jdf.queryExecution().analyzed().collectLeaves().length() <= most:
+        return t
+    return TensorFrame(settle(t.df), t.shape)
+
+
 class Var:
     """A tensor with its place in the graph. name: of a leaf that gradients are wanted for."""
 
     def __init__(self, tensor: TensorFrame, name: str | None = None, parents: tuple = (), pull: Callable | None = None) -> None:
-        self.tensor, self.name, self.id = tensor, name, next(_ids)
+        self.tensor, self.name, self.id = _shared(tensor), name, next(_ids)
         self.parents = parents if _enabled.get() else ()
         self.pull = pull
         self.tracked = name is not None or any(p.tracked for p in self.parents)
@@ -94,7 +116,7 @@ def backward(loss: Var, retain: dict[str, Var] | None = None) -> dict[str, Tenso
         v, parts = nodes[k], flows.pop(k, [])
         if not parts:
             continue
-        g = parts[0] if len(parts) == 1 else elemwise.add_all(parts)
+        g = _shared(parts[0] if len(parts) == 1 else elemwise.add_all(parts))
         for name in [v.name] if v.name is not None else []:
             out.setdefault(name, []).append(g)
         for name, wanted in (retain or {}).items():

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..errors import ShapeError
 from ..frame import TensorFrame
 from ..functions import scalar
+from ..functions.permutation import Permutation
 from ..operators import contraction, elemwise
-from ..operators.sequence import positions
 from . import adapters
 
 
@@ -46,8 +46,5 @@ def merged_adapters(parameters: dict[str, TensorFrame], alpha: float) -> dict[st
 
 
 def shuffled(ids: TensorFrame, seed: int) -> TensorFrame:
-    """The values [n] in an order that a hash of seed and index gives: the same for any partitioning."""
-    spread = ids.df.select("v", F.xxhash64("i0", F.lit(seed)).alias("h"), "i0")
-    parts = spread.withColumn("_part", F.shiftright("h", 48))  # numbered by ranges of the hash, not in one task
-    numbered = positions(parts.withColumn("_all", F.lit(0)), ["_all"], ["h", "i0"], "at", parts=F.col("_part"))
-    return TensorFrame(numbered.select(F.col("at").alias("i0"), "v"), ids.shape)
+    """The values [n] in an order that a keyed permutation gives, for any partitioning; nothing is sorted."""
+    return TensorFrame(ids.df.select(Permutation(ids.shape[0], seed).forward(F.col("i0")).alias("i0"), "v"), ids.shape)

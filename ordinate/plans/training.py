@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
@@ -78,6 +78,12 @@ def clip_factor(norm: Column, most: float, scale: float = 1.0) -> Column:
     return F.when(~odd & (c > 0) & (c < 1), c * scale).otherwise(F.lit(float(scale)))
 
 
+def clip_value(norm: float, most: float, scale: float = 1.0) -> float:
+    """clip_factor() of a norm that is known; most of 0 or less clips nothing."""
+    c = most / (norm * scale + 1e-6) if most > 0 and math.isfinite(norm) else 1.0
+    return c * scale if 0 < c < 1 else scale
+
+
 @dataclass(frozen=True)
 class AdamW:
     """decay_rank: parameters of at least so many axes (column rank) decay."""
@@ -136,12 +142,47 @@ def frozen(params: DataFrame, patterns: list[str], trainable: bool = False) -> D
     return params.withColumn("trainable", F.when(hit, F.lit(trainable)).otherwise(F.col("trainable")))
 
 
+#: The name under which a loss travels with the gradients.
+LOSS = "__loss__"
+
+
+@dataclass(frozen=True)
+class StepInfo:
+    """One step: the mean loss of its batches before it, the norm of their mean gradient, what that was multiplied with, and the rate."""
+
+    number: int
+    loss: float
+    norm: float
+    factor: float
+    rate: float
+
+
+@dataclass
+class TrainReport:
+    """All steps of a run."""
+
+    steps: list[StepInfo] = field(default_factory=list)
+
+    @property
+    def losses(self) -> list[float]:
+        return [s.loss for s in self.steps]
+
+    @property
+    def final_loss(self) -> float | None:
+        return self.steps[-1].loss if self.steps else None
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(s.number, s.loss, s.norm, s.factor, s.rate) for s in self.steps]
+        return spark.createDataFrame(rows, "step int, loss double, norm double, factor double, rate double")
+
+
 @dataclass
 class Trainer:
     """Runs steps: gradients of micro-batches are summed by a grouped sum, averaged, clipped and applied.
 
     gradients(params, batch) returns (param, idx, g) rows and loss(params, batch) a one-row table; both are plans, and
-    only losses and norms come to the driver. settle(params) cuts the lineage, such as by a written table.
+    only losses and norms come to the driver, as observed metrics of the job that writes the summed gradients. settle(params) cuts the lineage,
+    such as by a written table. on_step is called with the StepInfo of every log_every-th step; report has all of them.
     """
 
     optimizer: AdamW | Sgd
@@ -154,27 +195,41 @@ class Trainer:
     accumulation: int = 1
     max_steps: int = 1 << 30
     number: int = 0
-    losses: list[float] = field(default_factory=list)
+    on_step: Callable[[StepInfo], None] | None = None
+    log_every: int = 1
+    report: TrainReport = field(default_factory=TrainReport)
 
     def __post_init__(self) -> None:
-        if self.learning_rate <= 0 or self.accumulation < 1:
-            raise ConfigError(f"learning rate {self.learning_rate}, accumulation {self.accumulation}")
+        if self.learning_rate <= 0 or self.accumulation < 1 or self.log_every < 1:
+            raise ConfigError(f"learning rate {self.learning_rate}, accumulation {self.accumulation}, a report every {self.log_every}")
+
+    @property
+    def losses(self) -> list[float]:
+        return self.report.losses
 
     def step(self, params: DataFrame, batches: list[DataFrame]) -> DataFrame:
         if not batches:
             raise ConfigError("a step without batches")
         self.number += 1
-        parts = [self.gradients(params, b) for b in batches]
-        total = parts[0]
-        for p in parts[1:]:
-            total = total.unionByName(p)
-        total = self.settle(total.groupBy("param", "idx").agg(F.sum("g").alias("g")))
-        norm = gradient_norm(total).first().norm
-        scale = 1 / len(batches)
-        factor = F.lit(scale) if self.max_norm <= 0 else clip_factor(F.lit(norm), self.max_norm, scale)
-        self.losses.append(sum(self.loss(params, b).first()[0] for b in batches) / len(batches))
-        rate = self.schedule.at(self.learning_rate, F.lit(self.number))
-        return self.settle(self.optimizer.step(params, total, self.number, rate, factor))
+        total = None
+        for b in batches:
+            lost = self.loss(params, b)
+            lost = lost.select(F.lit(LOSS).alias("param"), F.lit(0).alias("idx"), F.col(lost.columns[0]).cast("double").alias("g"))
+            part = self.gradients(params, b).select("param", "idx", "g").unionByName(lost)
+            total = part if total is None else total.unionByName(part)
+        own, seen = F.col("param") != LOSS, Observation()
+        squares, loss = F.sum(F.when(own, F.col("g") * F.col("g"))).alias("squares"), F.sum(F.when(~own, F.col("g"))).alias("loss")
+        total = self.settle(total.groupBy("param", "idx").agg(F.sum("g").alias("g")).observe(seen, squares, loss)).where(own)
+        scale, norm = 1 / len(batches), math.sqrt(seen.get["squares"] or 0.0)
+        lost = seen.get["loss"]
+        factor = clip_value(norm, self.max_norm, scale)
+        rate, rated = self.schedule.at(self.learning_rate, F.lit(self.number)).cast("double"), Observation()
+        params = self.settle(self.optimizer.step(params, total, self.number, rate, factor).observe(rated, F.max(rate).alias("rate")))
+        info = StepInfo(self.number, math.nan if lost is None else lost * scale, norm * scale, factor, rated.get["rate"] or 0.0)
+        self.report.steps.append(info)
+        if self.on_step and self.number % self.log_every == 0:
+            self.on_step(info)
+        return params
 
     def fit(self, params: DataFrame, batches: Iterable[DataFrame]) -> DataFrame:
         """Groups of accumulation batches, the last of which may be smaller, until max_steps."""
