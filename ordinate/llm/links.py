@@ -2,9 +2,9 @@
 
 members(key, node, ...) says which nodes meet under a key. Not all pairs of a key are tested: first, every node is tested
 against one node of its key. What is alike forms components, and a key whose nodes are all of one component needs no further
-test; so a group of near copies costs a test a node. Another round of stars follows for the other keys. Their nodes that are then still apart
-are dealt in blocks, each pair of blocks to a task, which tests the pairs of nodes of different components within it. So no
-pair that could join two components stays untested, no pairs are written out, and no task holds more than two blocks.
+test; so a group of near copies costs a test a node. Another round of stars follows for the other keys. The nodes of each of these that are then
+still apart are dealt in blocks, each pair of blocks to a task, which tests the pairs of nodes of different components within it. So no
+pair with a key in common that could join two components stays untested, no pairs are written out, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 from .graph import components
 
-#: Rounds of stars; nodes of a block.
-STARS, SIDE = 2, 800
+#: Rounds of stars; nodes of a block, and bytes of their data.
+STARS, SIDE, SIDE_BYTES = 2, 800, 8 << 20
 
 
 def verified(pairs: DataFrame, items: DataFrame, check: Callable, block: int) -> DataFrame:
@@ -47,17 +47,23 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame, keys: DataFrame, items: DataFrame, check_all: Callable) -> DataFrame:
-    """The links between nodes of open keys with different labels; a written table."""
-    groups = components(members.join(keys.select("key", "lead"), "key").select(F.col("lead.node").alias("u"), F.col("node").alias("v")), "open")
-    own = members.select("node", "label").distinct().join(groups.select(F.col("node").alias("of"), F.col("component").alias("group")), F.col("node") == F.col("of"))
-    own = written(own.select("group", "node", "label"), "own")
-    cut = own.groupBy("group").agg(F.ceil(F.count("*") / SIDE).alias("slices"), F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
-    dealt = own.join(cut.select("group", "slices"), "group").withColumn("side", F.pmod(F.xxhash64("node"), F.col("slices")))
+    """The links between nodes of an open key with different labels; a written table.
+
+    Each key is searched by itself, in blocks of SIDE nodes and SIDE_BYTES of data, about. Of keys with the same nodes one is searched.
+    """
+    sizes = items.select(F.col("node").alias("of"), F.octet_length("data").alias("bytes"))
+    own = members.join(keys.select("key"), "key").select(F.col("key").alias("group"), "node", "label").distinct().join(sizes, F.col("node") == F.col("of"))
+    own = written(own.select("group", "node", "label", "bytes"), "own")
+    slices = F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum("bytes") / SIDE_BYTES)).cast("bigint")
+    both = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(20,0)")).cast("string").alias(f"nodes{k}") for k in (0, 1)]
+    cut = own.groupBy("group").agg(slices.alias("slices"), F.min("label").alias("least"), F.max("label").alias("most"), *both).where("least != most")
+    cut = written(cut.groupBy("nodes0", "nodes1").agg(F.min(F.struct("group", "slices")).alias("one")).select("one.group", "one.slices"), "cut")
+    dealt = own.join(cut, "group").withColumn("side", F.pmod(F.xxhash64("node"), F.col("slices")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
     dealt = dealt.select("group", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", F.col("node").alias("of"), "label")
     rows = dealt.join(items, F.col("of") == F.col("node")).drop("of").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
     found = written(rows.mapInArrow(_each_task(check_all), "u bigint, v bigint"), "verified")
-    dropped(own, groups)
+    dropped(own, cut)
     return found
 
 
