@@ -14,7 +14,7 @@ from .plans import adapters, autodiff, sampling, training
 from .sources import state
 from .sources.tables import centroids, event_sequences, read, vector_tensor, vectors
 from .streaming.recurrence import recurrence
-from .streaming.run import settled, to_table
+from .streaming.run import settled, shared_path, to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -706,12 +706,34 @@ SELECT 'layer.' || label || '.weight' AS name, [count(*) // 64, 64] AS shape, ro
 """)
 def state_dict_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors of each label as a parameter; entries of the labels under 5 by their names."""
+    return _totals(state.filtered(_label_states(spark, sf_dir), "weight"))
+
+
+def _label_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     parts = {f"layer.{k}.{'weight' if k < 5 else 'bias'}": TensorFrame.from_rows(rows.where(F.col("label") == k), ["r"], "x", (n, 64)) for k, n in sizes.items()}
-    kept = state.filtered(state.state_dict(spark, parts), "weight")
-    total = F.aggregate("data", F.lit(0.0), lambda s, v: s + v.cast("double"))
-    return kept.select("name", "shape", (F.round(total, 3) + 0.0).alias("total"))
+    return state.state_dict(spark, parts)
+
+
+def _totals(kept: DataFrame) -> DataFrame:
+    total = F.sum(F.aggregate("data", F.lit(0.0), lambda s, v: s + v.cast("double")))
+    return kept.groupBy("name", "shape").agg((F.round(total, 3) + 0.0).alias("total"))
+
+
+@query(f"""
+SELECT form, 'layer.' || label || '.weight' AS name, [count(*) // 64, 64] AS shape, round(sum(v), 3) + 0.0 AS total
+FROM {LONG}, (SELECT unnest(['parquet', 'nested']) AS form) WHERE label < 5 GROUP BY form, label
+""")
+def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same parameters written in two forms and read again, only those with weight in their names."""
+    found, states = None, settled(_label_states(spark, sf_dir))
+    for form in ("parquet", "nested"):
+        path = shared_path(spark, form)
+        state.save(states, path, form)
+        own = _totals(state.load(spark, path, form, "weight")).select(F.lit(form).alias("form"), "name", "shape", "total")
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 @query(f"""
