@@ -252,15 +252,30 @@ def patch_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(movement.patches(movement.reshape(x, (x.shape[0], 1, 8, 8)), 4))
 
 
-@query("""
-SELECT 'arange' AS op, r AS i0, 0 AS i1, CAST(r AS DOUBLE) AS v FROM range(12) t(r)
-UNION ALL SELECT 'eye', r, c, CASE WHEN r = c THEN 1.0 ELSE 0.0 END FROM range(9) a(r), range(9) b(c)
-UNION ALL SELECT 'causal', r, c, CASE WHEN c <= r THEN 1.0 ELSE 0.0 END FROM range(9) a(r), range(9) b(c)
-UNION ALL SELECT 'strict', r, c, CASE WHEN c < r THEN 1.0 ELSE 0.0 END FROM range(9) a(r), range(9) b(c)
-""")
+@query(f"""
+WITH e AS {EVENTS}
+SELECT user_id, t, round(sum(x) OVER w, 6) + 0.0 AS causal, round(sum(x) OVER w - x, 6) + 0.0 AS strict FROM e
+WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)
+""")
+def masked_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both causal masks, as long as the longest sequence, over all events: what each row sees, and what it sees but for itself."""
+    df = settled(event_sequences(spark, sf_dir))
+    n = df.agg(F.max("t")).first()[0] + 1
+    seen = df.select("user_id", F.col("t").alias("i1"), "x")
+    out = df.select("user_id", "t")
+    for name, strict in (("causal", False), ("strict", True)):
+        mask = causal_mask(spark, n, strict=strict).df
+        sums = mask.where("v != 0").join(seen, "i1").groupBy("user_id", F.col("i0").alias("t")).agg(F.sum(F.col("v") * F.col("x")).alias(name))
+        out = out.join(sums, ["user_id", "t"], "left").withColumn(name, r6(F.coalesce(name, F.lit(0.0))))
+    return out
+
+
+@query(f"SELECT i0, i1, round(v + i1, 6) + 0.0 AS v FROM {LONG}")
 def constructors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = movement.unsqueeze(arange(spark, 12), 1)
-    return _named({"arange": line, "eye": eye(spark, 9), "causal": causal_mask(spark, 9), "strict": causal_mask(spark, 9, strict=True)})
+    """All vectors by the unit matrix, plus the numbers of their places."""
+    x = vector_tensor(spark, sf_dir)
+    same = contraction.matmul(x, eye(spark, x.shape[1]))
+    return cells(elemwise.add(same, movement.unsqueeze(arange(spark, x.shape[1]), 0)))
 
 
 # Lookups and contractions
@@ -621,17 +636,23 @@ def grad_norm_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT r AS step, least(greatest((r - 10) / 190.0, 0), 1) AS d FROM range(1, 301) t(r))
-SELECT step, 0.001 AS constant, round(CASE WHEN step < 10 THEN 0.001 * step / 10 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(d * pi()))) END, 9) AS cosine,
+WITH o AS (SELECT o_orderkey, CAST(floor((epoch_us(o_orderdate) - min(epoch_us(o_orderdate)) OVER ()) / 8.64e10) AS BIGINT) + 1 AS r FROM orders),
+s AS (SELECT o_orderkey, r AS step, least(greatest((r - 10) / 190.0, 0), 1) AS d FROM o)
+SELECT o_orderkey, step, CAST(0.001 AS DOUBLE) AS constant, round(CASE WHEN step < 10 THEN 0.001 * step / 10 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(d * pi()))) END, 9) AS cosine,
        round(CASE WHEN step < 10 THEN 0.001 * step / 10 ELSE 0.001 * (1 - 0.9 * d) END, 9) AS linear, round(0.001 * pow(0.5, floor(step / 50)), 9) AS step_,
        round(CASE WHEN step < 10 THEN 0.001 * step / 10 ELSE 0.001 * sqrt(10.0 / step) END, 9) AS inverse_sqrt FROM s
 """)
 def lr_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates at each order, a step of which is a day since the first."""
     of = {
         "constant": training.Schedule(), "cosine": training.Schedule("cosine", 10, 200), "linear": training.Schedule("linear", 10, 200),
         "step_": training.Schedule("step", every=50), "inverse_sqrt": training.Schedule("inverse_sqrt", 10),
     }
-    return spark.range(1, 301).select(F.col("id").alias("step"), *[F.round(s.at(1e-3, F.col("id")), 9).alias(k) for k, s in of.items()])
+    at = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", at.alias("at"))
+    first = orders.agg(F.min("at")).first()[0]
+    steps = orders.select("o_orderkey", (F.floor((F.col("at") - F.lit(first)) / 8.64e10) + 1).cast("bigint").alias("step"))
+    return steps.select("o_orderkey", "step", *[F.round(s.at(1e-3, F.col("step")), 9).alias(k) for k, s in of.items()])
 
 
 @query(f"""
@@ -689,16 +710,15 @@ def next_token_bigram_ce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.sum("n").alias("n"), loss.alias("loss")).select("n", r6("loss").alias("loss"), r6(F.exp("loss")).alias("perplexity"))
 
 
-@query("""
-WITH r AS (SELECT r AS i0, xor(r, 1234) AS a FROM range(4096) t(r)),
-b AS (SELECT i0, (xor(a, a >> 16)::HUGEINT * 2146121005 % 4294967296)::BIGINT AS a FROM r),
-c AS (SELECT i0, (xor(a, a >> 15)::HUGEINT * 2221713035 % 4294967296)::BIGINT AS a FROM b),
-d AS (SELECT i0, xor(a, a >> 16) AS a FROM c)
-SELECT i0, CASE WHEN (a >> 8) / 16777216.0 < 0.75 THEN round(1 / 0.75, 6) ELSE 0 END AS v FROM d
+@query(f"""
+WITH r AS (SELECT i0, i1, v AS x, xor(i0 * 64 + i1, 1234) AS a FROM {LONG}),
+b AS (SELECT i0, i1, x, (xor(a, a >> 16)::HUGEINT * 2146121005 % 4294967296)::BIGINT AS a FROM r),
+c AS (SELECT i0, i1, x, (xor(a, a >> 15)::HUGEINT * 2221713035 % 4294967296)::BIGINT AS a FROM b),
+d AS (SELECT i0, i1, x, xor(a, a >> 16) AS a FROM c)
+SELECT i0, i1, CASE WHEN (a >> 8) / 16777216.0 < 0.75 THEN round(x / 0.75, 6) + 0.0 ELSE 0 END AS v FROM d
 """)
 def dropout_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ones = TensorFrame.generated(spark, (4096,), lambda i: F.lit(1.0))
-    return cells(elemwise.dropout(ones, 0.25, 1234))
+    return cells(elemwise.dropout(vector_tensor(spark, sf_dir), 0.25, 1234))
 
 
 @query(f"""

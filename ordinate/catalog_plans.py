@@ -128,15 +128,14 @@ def grad_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH e AS (SELECT i1 AS t, -abs(v) AS d, v AS u FROM {LONG} WHERE i0 = 0), s AS (SELECT *, sum(d) OVER (ORDER BY t) AS a FROM e)
-SELECT r.t AS i0, round(sum(exp(l.a - r.a)), 6) + 0.0 AS v FROM s l JOIN s r ON r.t <= l.t GROUP BY r.t
+WITH s AS (SELECT i0, i1, sum(-abs(v)) OVER (PARTITION BY i0 ORDER BY i1) AS a FROM {LONG})
+SELECT r.i0, r.i1, round(sum(exp(l.a - r.a)), 6) + 0.0 AS v FROM s l JOIN s r ON l.i0 = r.i0 AND r.i1 <= l.i1 GROUP BY ALL
 """)
 def grad_linear_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gradient of a scan's inputs, for the sum of its states, over the first vector."""
-    x = vector_tensor(spark, sf_dir)
-    row = TensorFrame(x.df.where("i0 = 0").select(F.col("i1").alias("i0"), "v"), (x.shape[1],))
-    h = autodiff.linear_scan(autodiff.Var(row.map(lambda v: -F.abs(v))), autodiff.Var(row, "u"))
-    return cells(autodiff.backward(autodiff.sum_all(h))["u"])
+    """The gradient of a scan's inputs along each vector, for the sum of its states."""
+    rows = settled(vector_tensor(spark, sf_dir).df.select("i0", "i1", (-F.abs("v")).alias("d"), F.array(F.lit(1.0)).alias("g")))
+    found = sequence.linear_scan_gradient(rows, ["i0"], "i1", "d", "g", chunk=16)
+    return found.select("i0", "i1", (F.round(F.col("gu")[0], 6) + 0.0).alias("v"))
 
 
 @query(f"""
@@ -294,11 +293,26 @@ def gated_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.gated(x, up, up, down).df.select("i0", "i1", (F.round("v", 5) + 0.0).alias("v"))
 
 
-@query(f"SELECT l.i0, l.i1, round(l.v + p.v, 6) + 0.0 AS v FROM {LONG} l JOIN (SELECT i0, i1, v FROM {LONG}) p ON l.i0 = p.i0 - 2 AND l.i1 = p.i1 WHERE l.i0 < 50")
+@query(f"SELECT l.i0, l.i1, round(l.v + p.v, 6) + 0.0 AS v FROM {LONG} l JOIN (SELECT i0, i1, v FROM {LONG}) p ON l.i0 = p.i0 - 2 AND l.i1 = p.i1")
 def positional_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To each vector the one two places on; the last two have none."""
     x = vector_tensor(spark, sf_dir)
-    some = TensorFrame(x.df.where("i0 < 50"), (50, x.shape[1]))
-    return cells(blocks.positional(some, x, start=2))
+    fitting = TensorFrame(x.df.where(F.col("i0") < x.shape[0] - 2), (x.shape[0] - 2, x.shape[1]))
+    return cells(blocks.positional(fitting, x, start=2))
+
+
+@query(f"""
+WITH l AS {LONG}, c AS {CENTROIDS},
+xs AS (SELECT max(abs(v)) / 127 AS s FROM l), ws AS (SELECT c, max(abs(v)) / 127 AS s FROM c GROUP BY c),
+q AS (SELECT l.i0, c.c AS i1, sum(round(l.v / xs.s) * xs.s * round(c.v / ws.s) * ws.s) AS v FROM l JOIN c ON l.i1 = c.d JOIN ws ON ws.c = c.c, xs GROUP BY ALL)
+SELECT i0, i1, round(v, 5) + 0.0 AS v FROM q
+""")
+def quantized_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors by the labels' means, the vectors at 8 bits for the whole table and the means at 8 bits a label."""
+    from .operators import movement
+
+    q = blocks.quantized_linear(vector_tensor(spark, sf_dir), movement.transpose(centroids(spark, sf_dir)))
+    return q.df.select("i0", "i1", (F.round("v", 5) + 0.0).alias("v"))
 
 
 # Generation

@@ -129,6 +129,15 @@ def linear_scan(df: DataFrame, keys: list[str], t: str, log_decay: str, inputs:
     return spread.select(*[F.col(f"_z.r._row.{c}").alias(c) for c in columns], h.alias(out))
 
 
+def linear_scan_gradient(df: DataFrame, keys: list[str], t: str, log_decay: str, gradient: str, out: str = "gu", chunk: int = CHUNK) -> DataFrame:
+    """df with the gradients of linear_scan()'s inputs, given those of its states (arrays): a scan from the last row to the first."""
+    last = df.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(F.max(t).alias("_last"))
+    back = df.join(last, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]).withColumn("_r", F.col("_last") - F.col(t))
+    back = with_previous(back.drop("_last", *[f"_g{i}" for i in range(len(keys))]), keys, "_r", {"_after": log_decay})
+    back = back.withColumn("_after", F.coalesce("_after", number(0)))
+    return linear_scan(back, keys, "_r", "_after", gradient, out, chunk).select(*df.columns, out)
+
+
 def with_previous(df: DataFrame, keys: list[str], t: str, columns: dict[str, str], chunk: int = CHUNK) -> DataFrame:
     """df with the values of the row before (null for the first): columns maps new names to columns.
 

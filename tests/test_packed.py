@@ -102,3 +102,15 @@ def test_edges(spark):
     for wrong in ({"chunk": 0}, {"rank": 0}):
         with pytest.raises(ConfigError):
             packed.scan(empty, ["k"], **wrong)
+
+
+def test_gradient_of_a_plain_scan(spark):
+    rng = np.random.default_rng(8)
+    d, u, g = -rng.uniform(0.1, 1, 11), rng.normal(size=(11, 2)), rng.normal(size=(11, 2))
+    rows = [(k, t, float(d[t]), u[t].tolist(), g[t].tolist()) for k in (1, None) for t in range(11)]
+    df = spark.createDataFrame(rows, "k int, t bigint, d double, u array<double>, g array<double>").repartition(2)
+    got = {(r.k, r.t): r.gu for r in sequence.linear_scan_gradient(df, ["k"], "t", "d", "g", chunk=4).collect()}
+    for t in range(11):
+        want = sum(g[s] * np.exp(d[t + 1 : s + 1].sum()) for s in range(t, 11))
+        np.testing.assert_allclose(got[1, t], want, atol=1e-12)
+        np.testing.assert_allclose(got[None, t], want, atol=1e-12)
