@@ -42,6 +42,9 @@ ENDS = {
     "li": ("li", "ul ol menu"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"),
     "tbody": ("thead tbody tfoot", "table"), "tfoot": ("thead tbody tfoot", "table"), "thead": ("thead tbody tfoot", "table"),
 }
+# Elements of a page that says nothing of its parts, if none has names; and those that end without a closing tag.
+BARE = frozenset("html head title body p h1 h2 h3 h4 h5 h6 pre blockquote hr center div section".split())
+IMPLIED = frozenset("p li dd dt td th tr".split())
 SPACED = frozenset("br img input label wbr".split())
 CLOSES_P = BLOCKS - frozenset("html head body title".split())
 
@@ -66,6 +69,7 @@ class Node:
     linked: int = 0
     share: float = 0.0
     links: float = 0.0
+    bare: bool = False
 
 
 class _Open:
@@ -120,6 +124,16 @@ def parse(page: str) -> list[Node]:
         k = bisect.bisect_right(closed[name], start)
         return closed[name][k] if k < len(closed[name]) else None
 
+    def within(start: int, stop: int) -> bool:
+        """Whether what lies between two places is within the innermost open block that needs a closing tag."""
+        tag = next((t for t in reversed(stack.tags) if t not in IMPLIED), "html")
+        depth = 0
+        for m in re.finditer(rf"<(/?){tag}(?=[\s/>])", page[start:stop], re.I):
+            depth += -1 if m[1] else 1
+            if depth < 0:
+                return False
+        return True
+
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
@@ -135,7 +149,10 @@ def parse(page: str) -> list[Node]:
         if name in SKIPPED:
             if not closing and not m[3].endswith("/"):
                 close = end_of(name, at)
-                at = close if close is not None else end if name in TO_THE_END else at
+                if name in TO_THE_END:
+                    at = close if close is not None else end
+                elif close is not None and (name == "textarea" or within(at, close)):  # else it was never closed, and takes nothing with it
+                    at = close
             pieces.append(" ")
         elif name == "a":
             anchors = 0 if closing else 1
@@ -176,12 +193,18 @@ def _below(nodes: list[Node]) -> None:
     for k in range(len(nodes) - 1, 0, -1):
         size[nodes[k].parent] += size[k]
         linked[nodes[k].parent] += linked[k]
+    bare = 4 * linked[0] <= size[0] and all(n.tag in BARE and not n.names for n in nodes)
     for n, x, y in zip(nodes, size, linked):
-        n.share, n.links = x / max(1, size[0]), y / max(1, x)
+        n.share, n.links, n.bare = x / max(1, size[0]), y / max(1, x), bare
 
 
 def features(node: Node) -> list[str]:
-    """Tag with parent's tag and whether it has names; its and the parent's names; share of text and links below; of blocks with text, its length and links."""
+    """Tag with parent's tag and whether it has names; its and the parent's names; share of text and links below; of blocks with text, its length and links.
+
+    Of pages that say nothing of their parts, only whether a block is in the head.
+    """
+    if node.bare:
+        return [f"bare={'head' if 'head' in (node.tag, node.within) or node.tag == 'title' else 'text'}"]
     out = [f"tag={node.tag}<{node.within}{'+' if node.names else ''}", *(f"name={w}" for w in node.names), *(f"under={w}" for w in node.under)]
     if node.share:
         out.append(f"below={sum(node.share > x for x in (0.05, 0.2, 0.5, 0.8))},{sum(node.links > x for x in (0.1, 0.5))}")

@@ -69,3 +69,26 @@ def test_edges(spark, model):
     assert got[5] == "a <b> c d e\n\nx y" and got[7] == "One\n\nTwo\n\nThree" and got[9] == "T\n\ntail &am"
     assert got[6].count("word & word") == 4000
     assert X.extract(df.limit(0), model=model).count() == 0
+
+
+@pytest.mark.parametrize("words", [1, 5, 50, 1000])
+def test_plain_pages(model, words):
+    """Pages that say nothing of their parts are content, but for the head."""
+    text = " ".join(f"word{k}" for k in range(words))
+    assert X.main_text(text, model) == text
+    for around in ("<html><body>{}</body></html>", "<html><head><title>a title</title></head><body>{}", "<!doctype html>{}"):
+        assert X.main_text(around.format(text), model) == text
+        assert X.main_text(around.format(f"<p>{text}</p>"), model) == text
+        assert X.main_text(around.format(f"<h1>Head</h1><p>{text}<p>{text}"), model) == f"Head\n\n{text}\n\n{text}"
+        assert X.main_text(around.format(f"<div>{text}</div><div>{text}</div>"), model) == f"{text}\n\n{text}"
+        assert X.main_text(around.format(f'<nav><a href="/">menu</a></nav><div class="ad">{text}</div>'), model) == ""
+
+
+@pytest.mark.parametrize("tag", ["button", "svg", "select", "iframe", "template", "datalist"])
+def test_skipped_elements_that_are_not_closed(model, tag):
+    """They skip only themselves; closed ones skip what they hold, blocks included."""
+    body = "<p>" + "first words of the article " * 5 + "</p><p>" + "second words of it " * 5 + "</p>"
+    want = X.main_text(f"<article>{body}</article><footer>copyright</footer>", model)
+    assert want.startswith("first") and "second" in want and "copyright" not in want
+    assert X.main_text(f"<article><div><{tag}></div>{body}</article><footer><{tag}>ok</{tag}> copyright</footer>", model) == want
+    assert X.main_text(f"<article><{tag}><div>gone</div></{tag}>{body}</article><footer>copyright</footer>", model) == want
