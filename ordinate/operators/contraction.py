@@ -8,10 +8,11 @@ from .. import shape as S
 from ..errors import ConfigError, ShapeError
 from ..frame import TensorFrame
 from ..functions.scalar import rounded
+from . import tiles
 from .elemwise import BROADCAST_CELLS
 
 PRECISIONS = ("float64", "float32", "float16", "bfloat16")
-STRATEGIES = ("auto", "broadcast", "shuffle", "rows")
+STRATEGIES = ("auto", "broadcast", "shuffle", "rows", "tiles")
 
 
 def matmul(a: TensorFrame, b: TensorFrame, transpose_a: bool = False, transpose_b: bool = False, precision: str = "float64", strategy: str = "auto") -> TensorFrame:
@@ -19,7 +20,8 @@ def matmul(a: TensorFrame, b: TensorFrame, transpose_a: bool = False, transpose_
 
     precision rounds the operands before they are multiplied; sums are in double. strategy is how the join is done,
     never what comes out: rows packs the left side's rows and the whole right side into arrays and needs no
-    shuffle of products, for a right side of two axes that is small.
+    shuffle of products, for a right side of two axes that is small; tiles, for equal leading axes, multiplies matrices by tiles, where the
+    others have a row for each product. auto takes tiles where neither side is small.
     """
     if a.rank < 2 or b.rank < 2:
         raise ShapeError("a matrix product needs two axes on each side")
@@ -35,6 +37,8 @@ def matmul(a: TensorFrame, b: TensorFrame, transpose_a: bool = False, transpose_
     axis = lambda t, k: F.col(f"i{t.rank + k}")
     if strategy == "rows" or strategy == "auto" and b.rank == 2 and b.size <= 16_384 and a.rank == 2 and not transpose_a:
         return _by_rows(a, b, kb, nb)
+    if strategy == "tiles" or strategy == "auto" and a.shape[:-2] == b.shape[:-2] and min(a.size, b.size) > BROADCAST_CELLS:
+        return tiles.matmul(tiles.Tiles.of(a), tiles.Tiles.of(b), transpose_a, transpose_b).frame()
 
     def side(t: TensorFrame, own: int, shared: int, prefix: str):
         columns, names = [axis(t, own).alias(f"{prefix}own"), axis(t, shared).alias(f"{prefix}k"), F.col("v").alias(f"{prefix}v")], []
@@ -76,10 +80,5 @@ def matmul_tn(a: TensorFrame, b: TensorFrame, **how) -> TensorFrame:
 
 
 def weight_gradient(x: TensorFrame, g: TensorFrame) -> TensorFrame:
-    """The sum over all leading axes of xᵀ g: they are contracted with the rows."""
-    if x.shape[:-1] != g.shape[:-1]:
-        raise ShapeError(f"{x.shape} and {g.shape}")
-    left = x.df.select(*x.axes[:-1], F.col(x.axes[-1]).alias("_m"), F.col("v").alias("_x"))
-    right = g.df.select(*g.axes[:-1], F.col(g.axes[-1]).alias("_n"), F.col("v").alias("_g"))
-    df = left.join(right, x.axes[:-1]).groupBy(F.col("_m").alias("i0"), F.col("_n").alias("i1"))
-    return TensorFrame(df.agg(F.sum(F.col("_x") * F.col("_g")).alias("v")), (x.shape[-1], g.shape[-1]))
+    """The sum over all leading axes of xᵀ g: they are contracted with the rows, by tiles."""
+    return tiles.weight_gradient(x, g)

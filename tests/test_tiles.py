@@ -94,3 +94,12 @@ def test_fewer_rows_than_pairs_of_rows(spark):
     df = spark.range(256).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.array(F.lit(1.0)).alias("q"))
     plan = attention(df, ["k"], "t", "q", "q", "q", 1.0, chunk=64)
     assert plan.count() == 256 and "CartesianProduct" not in plan._jdf.queryExecution().toString()
+
+
+def test_as_a_strategy(spark):
+    from ordinate.operators import contraction
+
+    a, b = R.normal(size=(2, 5, 3)), R.normal(size=(2, 5, 4))
+    got = contraction.matmul(of(spark, a), of(spark, b), transpose_a=True, strategy="tiles")
+    np.testing.assert_allclose(back(got), np.swapaxes(a, 1, 2) @ b, atol=1e-12)
+    np.testing.assert_allclose(back(contraction.weight_gradient(of(spark, a), of(spark, b))), np.einsum("abi,abj->ij", a, b), atol=1e-12)
