@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, flagged, fresh, prepare, slices, texts, written
+from .common import dropped, flagged, fresh, prepare, released, released_table, slices, texts, written
 from .links import Task, linked
 
 WORDS = 5
@@ -358,17 +358,17 @@ def cluster(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), texts().alias("text"))
-    sets = written(rows.mapInArrow(_sets_of, _SETS), "sets")
+    sets = written(rows.mapInArrow(released(_sets_of), _SETS), "sets")
     bits = max(6, int(np.ceil(np.log2(max(1, (sets.agg(F.sum("n")).first()[0] or 0) / COUNTED)))))
     same = ["signature", "second", "n"]
     classes = sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min("node").alias("owner"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
 
-    parts = sets.where("n > 0").select("node", "signature", "shingles").mapInArrow(_parts_of(bits), "part int, block bigint, low binary, rows binary, more binary")
+    parts = sets.where("n > 0").select("node", "signature", "shingles").mapInArrow(released(_parts_of(bits)), "part int, block bigint, low binary, rows binary, more binary")
     kind = "block bigint, part int, low binary, rows binary, df binary, more binary"
-    shared = parts.groupBy("part").applyInArrow(_shared_of(bits), kind)
-    sizes = sets.where("n > 0").select("node", "n").mapInArrow(_sizes_of, kind)
-    lists = shared.union(sizes).groupBy("block").applyInArrow(_short_lists, "key bigint, node bigint, size bigint, room bigint")
+    shared = parts.groupBy("part").applyInArrow(released_table(_shared_of(bits)), kind)
+    sizes = sets.where("n > 0").select("node", "n").mapInArrow(released(_sizes_of), kind)
+    lists = shared.union(sizes).groupBy("block").applyInArrow(released_table(_short_lists), "key bigint, node bigint, size bigint, room bigint")
     lists = written(lists, "lists")
     # Of equal sets one is the node.
     again = classes.where("copies > 1").select("owner", *[F.col(c).alias(f"of_{c}") for c in same])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, released, written
 from .graph import components
 
 #: Rounds of stars; nodes of a block, and bytes of their data.
@@ -35,7 +35,7 @@ def verified(pairs: DataFrame, items: DataFrame, check: Callable, block: int) ->
     leads = cut.select("u", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"), F.col("u").alias("node"))
     rows = dealt.union(leads).join(items.select("node", "data"), "node").select("u", "slice", "node", "data")
     rows = rows.repartition("u", "slice").sortWithinPartitions("u", "slice", F.col("node") != F.col("u"), "node")
-    found = written(rows.mapInArrow(check, "u bigint, v bigint"), "verified")
+    found = written(rows.mapInArrow(released(check), "u bigint, v bigint"), "verified")
     dropped(pairs)
     return found
 
@@ -62,7 +62,7 @@ def _blocks(members: DataFrame, keys: DataFrame, items: DataFrame, check_all: Ca
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
     dealt = dealt.select("group", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", F.col("node").alias("of"), "label")
     rows = dealt.join(items, F.col("of") == F.col("node")).drop("of").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
-    found = written(rows.mapInArrow(_each_task(check_all), "u bigint, v bigint"), "verified")
+    found = written(rows.mapInArrow(released(_each_task(check_all)), "u bigint, v bigint"), "verified")
     dropped(own, cut)
     return found
 
