@@ -381,7 +381,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     wanted = written(members.select(F.col("node").alias("wanted")).distinct(), "wanted")
     items = flagged(sets.select("node", F.col("shingles").alias("data")), F.col("node"), wanted, "may").where("may")
     items = written(items.join(wanted.hint("merge"), F.col("node") == F.col("wanted")).select("node", "data"), "items")
-    labels = linked(members, items, _search, _search_all, _may, BLOCK)
+    labels = linked(members, items, _search, _search_all, _may, BLOCK, by_key=False)  # near texts have many rare shingles in common
     dropped(members, wanted, items)
 
     inside = classes.join(labels, F.col("owner") == F.col("node")).select(*same, "component", "least")

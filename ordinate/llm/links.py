@@ -2,8 +2,8 @@
 
 members(key, node, ...) says which nodes meet under a key. Not all pairs of a key are tested: first, every node is tested
 against one node of its key. What is alike forms components, and a key whose nodes are all of one component needs no further
-test; so a group of near copies costs a test a node. Another round of stars follows for the other keys. The nodes of each of these that are then
-still apart are dealt in blocks, each pair of blocks to a task, which tests the pairs of nodes of different components within it. So no
+test; so a group of near copies costs a test a node. Another round of stars follows for the other keys. The nodes of each of these (or of those that
+such keys connect) that are then still apart are dealt in blocks, each pair of blocks to a task, which tests the pairs of nodes of different components within it. So no
 pair with a key in common that could join two components stays untested, no pairs are written out, and no task holds more than two blocks.
 """
 
@@ -46,14 +46,19 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn("label", F.coalesce("component", "node")).drop("component")
 
 
-def _blocks(members: DataFrame, keys: DataFrame, items: DataFrame, check_all: Callable) -> DataFrame:
+def _blocks(members: DataFrame, keys: DataFrame, items: DataFrame, check_all: Callable, by_key: bool) -> DataFrame:
     """The links between nodes of an open key with different labels; a written table.
 
-    Each key is searched by itself, in blocks of SIDE nodes and SIDE_BYTES of data, about. Of keys with the same nodes one is searched.
+    Each key is searched by itself, or, where nodes have many keys in common, each group of nodes that open keys connect, in blocks of
+    SIDE nodes and SIDE_BYTES of data, about. Of keys with the same nodes one is searched.
     """
     sizes = items.select(F.col("node").alias("of"), F.octet_length("data").alias("bytes"))
-    own = members.join(keys.select("key"), "key").select(F.col("key").alias("group"), "node", "label").distinct().join(sizes, F.col("node") == F.col("of"))
-    own = written(own.select("group", "node", "label", "bytes"), "own")
+    if by_key:
+        own = members.join(keys.select("key"), "key").select(F.col("key").alias("group"), "node", "label").distinct()
+    else:
+        groups = components(members.join(keys.select("key", "lead"), "key").select(F.col("lead.node").alias("u"), F.col("node").alias("v")), "open")
+        own = members.select("node", "label").distinct().join(groups.select(F.col("node").alias("in"), F.col("component").alias("group")), F.col("node") == F.col("in"))
+    own = written(own.join(sizes, F.col("node") == F.col("of")).select("group", "node", "label", "bytes"), "own")
     slices = F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum("bytes") / SIDE_BYTES)).cast("bigint")
     both = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(20,0)")).cast("string").alias(f"nodes{k}") for k in (0, 1)]
     cut = own.groupBy("group").agg(slices.alias("slices"), F.min("label").alias("least"), F.max("label").alias("most"), *both).where("least != most")
@@ -63,7 +68,7 @@ def _blocks(members: DataFrame, keys: DataFrame, items: DataFrame, check_all: Ca
     dealt = dealt.select("group", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", F.col("node").alias("of"), "label")
     rows = dealt.join(items, F.col("of") == F.col("node")).drop("of").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
     found = written(rows.mapInArrow(released(_each_task(check_all)), "u bigint, v bigint"), "verified")
-    dropped(own, cut)
+    dropped(own, cut, *([] if by_key else [groups]))
     return found
 
 
@@ -115,11 +120,11 @@ def _each_task(check_all: Callable[[Task], None]):
     return run
 
 
-def linked(members: DataFrame, items: DataFrame, check: Callable, check_all: Callable[[Task], None], may: Callable[[Callable, Callable], Column], block: int) -> DataFrame:
+def linked(members: DataFrame, items: DataFrame, check: Callable, check_all: Callable[[Task], None], may: Callable[[Callable, Callable], Column], block: int, by_key: bool) -> DataFrame:
     """(node, component) of all nodes with a link; a written table.
 
     members is a written table of (key, node, ...), items one of (node, data, ...). may(a, b) says of two members, whose columns a(name)
-    and b(name) give, whether they can be alike. check() tests stars, check_all() a Task.
+    and b(name) give, whether they can be alike. check() tests stars, check_all() a Task. by_key: whether open keys are searched each by itself.
     """
     rest = [c for c in members.columns if c not in ("key", "node")]
     now, edges, labels = members, [], None
@@ -132,7 +137,7 @@ def linked(members: DataFrame, items: DataFrame, check: Callable, check_all: Cal
             dropped(keys)
             break
         if k == STARS:
-            edges.append(_blocks(now.join(keys.select("key"), "key", "left_semi"), keys, items, check_all))
+            edges.append(_blocks(now.join(keys.select("key"), "key", "left_semi"), keys, items, check_all, by_key))
         else:
             differs = F.col("node") != F.col("lead.node")
             differs = differs & (F.col("label") != F.col("lead.label")) if k else differs
