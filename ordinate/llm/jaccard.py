@@ -308,14 +308,14 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _search_all(task: Task) -> None:
     """The same search among the sets of a task, for those that are not of its most frequent component; long lists are merged by sorting."""
-    sets = [_unpacked(r["data"]) for r in task.rows]
+    sets = [_unpacked(x) for x in task.data]
     size = np.array([len(s) for s in sets], np.int64)
     universe, code = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(code, kind="stable")
     postings, start = owner[order], np.searchsorted(code[order], np.arange(len(universe) + 1))
     length, ends = np.diff(start), np.cumsum(size)
-    for row in task.asked():
+    for row in task.asked().tolist():
         may = task.open(row) & (100 * np.minimum(size, size[row]) >= PERCENT * np.maximum(size, size[row]))
         if not may.any():
             continue
@@ -381,7 +381,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     wanted = written(members.select(F.col("node").alias("wanted")).distinct(), "wanted")
     items = flagged(sets.select("node", F.col("shingles").alias("data")), F.col("node"), wanted, "may").where("may")
     items = written(items.join(wanted.hint("merge"), F.col("node") == F.col("wanted")).select("node", "data"), "items")
-    labels = linked(members, items, _search, _search_all, _may, BLOCK, by_key=False)  # near texts have many rare shingles in common
+    labels = linked(members, items, _search, _search_all, _may, BLOCK, by_key=False, percent=PERCENT)  # near texts have many rare shingles in common
     dropped(members, wanted, items)
 
     inside = classes.join(labels, F.col("owner") == F.col("node")).select(*same, "component", "least")
