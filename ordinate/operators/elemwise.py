@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import shape as S
@@ -13,7 +13,13 @@ from ..frame import TensorFrame, axes
 from ..functions import scalar
 
 #: Cells of a side that is broadcast at most; its size is known from its shape.
-BROADCAST_CELLS = 1_000_000
+BROADCAST_CELLS = 100_000
+
+
+def sided(df: DataFrame, cells: int) -> DataFrame:
+    """A side of an equi-join: broadcast if it is small, else sorted and merged. Without the hint Spark goes by the size of the files
+    that it comes from, which says nothing of the cells that arrays are exploded to, and would broadcast tables of any size."""
+    return F.broadcast(df) if cells <= BROADCAST_CELLS else df.hint("merge")
 
 
 def _side(t: TensorFrame, rank: int, out: S.Shape, prefix: str):
@@ -34,9 +40,9 @@ def binary(a: TensorFrame, b: TensorFrame, f: Callable[[Column, Column], Column]
     rank = len(out)
     left, la = _side(a, rank, out, "l_")
     right, lb = _side(b, rank, out, "r_")
-    if min(a.size, b.size) <= BROADCAST_CELLS:
-        left, right = (F.broadcast(left), right) if a.size < b.size else (left, F.broadcast(right))
     common = [x for x in axes(rank) if x in la and x in lb]
+    if common or min(a.size, b.size) <= BROADCAST_CELLS:
+        left, right = (sided(left, a.size), right) if a.size < b.size else (left, sided(right, b.size))
     on = [F.col(f"l_{x}") == F.col(f"r_{x}") for x in common]
     both = left.join(right, on, "inner") if on else left.crossJoin(right)  # no common axis: the result has all pairs
     at = [F.col(f"l_{x}" if x in la else f"r_{x}").alias(x) for x in axes(rank)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ShapeError
 from ..frame import TensorFrame
-from .elemwise import BROADCAST_CELLS
+from .elemwise import sided
 
 
 def gather_rows(table: TensorFrame, ids: DataFrame, id_column: str = "id") -> DataFrame:
@@ -18,8 +18,7 @@ def gather_rows(table: TensorFrame, ids: DataFrame, id_column: str = "id") -> Da
     if table.rank != 2:
         raise ShapeError("the table of a gather has two axes")
     rows = table.df.select(F.col("i0").alias("_id"), "i1", "v")
-    rows = F.broadcast(rows) if table.size <= BROADCAST_CELLS else rows
-    found = ids.join(rows, ids[id_column] == F.col("_id"), "left")
+    found = ids.join(sided(rows, table.size), ids[id_column] == F.col("_id"), "left")
     wrong = F.raise_error(F.concat(F.lit("no row "), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))))
     return found.withColumn("v", F.when(F.col("_id").isNull(), wrong.cast("double")).otherwise(F.col("v"))).drop("_id")
 
@@ -46,6 +45,5 @@ def take_along_last(x: TensorFrame, ids: TensorFrame) -> TensorFrame:
     if x.shape[:-1] != ids.shape:
         raise ShapeError(f"ids of {ids.shape} for {x.shape}")
     at = ids.df.select(*[F.col(a).alias(f"_{a}") for a in ids.axes], F.col("v").cast("bigint").alias("_id"))
-    at = F.broadcast(at) if ids.size <= BROADCAST_CELLS else at
     on = [F.col(a) == F.col(f"_{a}") for a in ids.axes] + [F.col(f"i{ids.rank}") == F.col("_id")]
-    return TensorFrame(x.df.join(at, on).select(*ids.axes, "v"), ids.shape)
+    return TensorFrame(x.df.join(sided(at, ids.size), on).select(*ids.axes, "v"), ids.shape)

@@ -357,7 +357,7 @@ def gather_rows(x: Var, ids: TensorFrame) -> Var:
     found = indexing.gather_rows(x.tensor, named).select(F.col("_r").alias("i0"), "i1", "v")
 
     def pull(g: TensorFrame) -> list[TensorFrame]:
-        return [indexing.scatter_add_rows(g.df.join(named, F.col("i0") == F.col("_r")).select("id", "i1", "v"), rows, columns)]
+        return [indexing.scatter_add_rows(g.df.join(elemwise.sided(named, ids.size), F.col("i0") == F.col("_r")).select("id", "i1", "v"), rows, columns)]
 
     return Var(TensorFrame(found, (ids.shape[0], columns)), parents=(x,), pull=pull)
 

@@ -261,3 +261,24 @@ def test_edges_of_functions(spark):
     xs = [0.0, 1e-9, -0.3, 0.7, 1.9, 2.999, 3.001, -4.5, 8.0, 40.0, float("inf"), float("-inf")]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", scalar.erf(F.col("x")).alias("y")).orderBy("i").collect()
     assert all(abs(row.y - math.erf(x)) < 1e-12 for row, x in zip(got, xs))
+
+
+def _joins(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("strategy=merge"), plan.count("strategy=broadcast")
+
+
+def test_large_sides_are_merged_whatever_their_files_say(spark):
+    """Cells that arrays are exploded to are many more than the size of a file says: only sides known to be small are broadcast."""
+    rows = spark.range(10).select("id", F.array_repeat(F.lit(1.0), 64).alias("x"))
+    large, few = (T.TensorFrame.from_rows(rows, ["id"], "x", (n, 64)) for n in (1 << 20, 1))
+    assert _joins(elemwise.add(large, large).df) == (1, 0) and _joins(elemwise.add(large, few).df) == (0, 1)
+    assert _joins(indexing.gather_rows(large, spark.range(5))) == (1, 0)
+
+
+def test_shift_sorts_nothing(spark):
+    x = T.TensorFrame.generated(spark, (2, 4), lambda i, k: 4 * i + k + 1.0)
+    for n, want in ((1, [0, 1, 2, 3, 0, 5, 6, 7]), (-2, [3, 4, 0, 0, 7, 8, 0, 0]), (0, [1, 2, 3, 4, 5, 6, 7, 8]), (9, [0] * 8), (-4, [0] * 8)):
+        moved = scan.shift_by(x, 1, n)
+        assert moved.to_data() == want
+        assert "Window" not in moved.df._jdf.queryExecution().optimizedPlan().toString()
