@@ -92,8 +92,9 @@ SELECT k AS i0, round(sum(2 * y * l.v), 5) + 0.0 AS v FROM y, w JOIN l ON l.i0 =
 def grad_causal_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gradient of a convolution's weights, for the sum of squares of what it gives along each vector."""
     weights = autodiff.Var(TensorFrame.from_data(spark, KERNEL, (4,)), "w")
-    y = autodiff.causal_conv(autodiff.Var(vector_tensor(spark, sf_dir)), weights, 1)
-    g = autodiff.backward(autodiff.sum_all(autodiff.mul(y, y)))["w"]
+    with autodiff.written(settled):  # what several gradients read is a table, so that no task sorts many copies of it
+        y = autodiff.causal_conv(autodiff.Var(vector_tensor(spark, sf_dir)), weights, 1)
+        g = autodiff.backward(autodiff.sum_all(autodiff.mul(y, y)))["w"]
     return g.df.select("i0", (F.round("v", 5) + 0.0).alias("v"))
 
 

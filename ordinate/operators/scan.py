@@ -39,10 +39,15 @@ def cumsum_reverse_exclusive(t: TensorFrame, axis: int) -> TensorFrame:
 
 
 def shift_by(t: TensorFrame, axis: int, n: int) -> TensorFrame:
-    """Values moved n places on (back if n is negative), zeros in the places that become free."""
-    w = _window(t, axis)
-    v = F.lag("v", n, 0.0).over(w) if n >= 0 else F.lead("v", -n, 0.0).over(w)
-    return TensorFrame(t.df.withColumn("v", v), t.shape)
+    """Values moved n places on (back if n is negative), zeros in the places that become free.
+
+    Each cell gets another coordinate, those that fall off the end come as the zeros: no sort, no shuffle.
+    """
+    axis = S.axis_of(axis, t.rank)
+    at, size = F.col(f"i{axis}"), t.shape[axis]
+    kept = (at + n >= 0) & (at + n < size)
+    moved = {f"i{axis}": F.pmod(at + n, F.lit(max(1, size))), "v": F.when(kept, F.col("v")).otherwise(0.0)}
+    return TensorFrame(t.df.select(*[moved.get(c, F.col(c)).alias(c) for c in (*t.axes, "v")]), t.shape)
 
 
 def shift_right(t: TensorFrame, axis: int) -> TensorFrame:
