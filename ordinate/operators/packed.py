@@ -23,6 +23,8 @@ from ..streaming.run import settled
 from .sequence import CHUNK, FLOOR, TWO_PI, linear_scan, running_sum, with_previous
 
 DOUBLES = T.ArrayType(T.DoubleType())
+#: Chunks that a task unpacks at a time.
+PIECE = 128
 _LISTS, _NUMBERS = ("x", "b", "c", "g"), ("dt", "lam", "rate", "theta")
 
 
@@ -106,6 +108,13 @@ class Local:
         }
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows by PIECE at most: a batch of Spark's has 10,000 chunks, whose rows as arrays of their own would be held at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, PIECE):
+            yield batch.slice(k, PIECE)
+
+
 def _chunks(batch: pa.RecordBatch, rank: int) -> Iterator[Chunk]:
     """The chunks of a batch's column rows."""
     lists = batch.column("rows")
@@ -131,7 +140,7 @@ def _summaries(keys: list[str], rank: int):
     """A chunk's turn, decay, share of the row before it, last state and u, what it hands back, all as from angle 0, and its N."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             found: dict[str, list] = {c: [] for c in ("turn", "decay", "share", "h", "u", "back", "n")}
             for rows in _chunks(batch, rank):
                 own = rows.at(0.0)
@@ -190,7 +199,7 @@ class Packed:
         flat = {c: DOUBLES if isinstance(k, T.ArrayType) else k for c, k in kinds.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _pieces(batches):
                 sizes, times, found = [], [], {c: [] for c in kinds}
                 for k, rows in enumerate(_chunks(batch, rank)):
                     ends = {c: batch.column(c)[k].as_py() for c in ("angle", "first", "before", "behind", "share_behind")}
