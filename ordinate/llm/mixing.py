@@ -74,16 +74,20 @@ def fitted(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[st
             sums = raised.agg(F.sum("target")).first()[0] or 1.0
             wanted[k] = raised.withColumn("target", F.col("target") / F.lit(sums))
         wanted[k] = written(wanted[k], "targets")
-    now = written(cells.withColumn("weight", F.col("tokens") / F.lit(total)), "cells")
+    # Each cell has its categories' targets beside it (null: none), so that a round joins only its sums.
+    aimed = cells.withColumn("weight", F.col("tokens") / F.lit(total))
+    for k in powers:
+        aimed = aimed.join(wanted[k].select(F.col(k).alias("_category"), F.col("target").alias(f"_target_{k}")), F.col(k) == F.col("_category"), "left").drop("_category")
+    now = written(aimed, "cells")
     off = None
     for _ in range(SWEEPS):
         step = now
         for k in powers:
-            sums = step.groupBy(k).agg(F.sum("weight").alias("sum")).join(wanted[k], k, "left")
+            sums = step.groupBy(k).agg(F.sum("weight").alias("sum"), F.first(f"_target_{k}").alias("target"))
             factor = sums.select(F.col(k).alias("_category"), F.coalesce(F.try_divide("target", "sum"), F.lit(0.0)).alias("_factor"))
             step = step.join(factor, F.col(k) == F.col("_category")).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_category", "_factor")
         following = written(step, "cells")
-        last, off = off, _gaps(following, wanted)
+        last, off = off, _gaps(following, list(powers))
         dropped(now)
         now = following
         if max(off.values(), default=0.0) <= TOLERANCE or (last and all(abs(off[k] - last[k]) <= TOLERANCE / 100 for k in off)):
@@ -91,14 +95,16 @@ def fitted(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[st
     else:
         warnings.warn(f"marginals are off their targets by up to {max(off.values())} after {SWEEPS} rounds", stacklevel=2)
     dropped(*wanted.values())
-    return now
+    out = now.drop(*[f"_target_{k}" for k in powers])
+    out._scratch_path = now._scratch_path
+    return out
 
 
-def _gaps(cells: DataFrame, wanted: dict[str, DataFrame]) -> dict[str, float]:
+def _gaps(cells: DataFrame, wanted: list[str]) -> dict[str, float]:
     """How far the marginals of each attribute are off their targets, at most."""
     gaps = None
-    for k, target in wanted.items():
-        sums = cells.groupBy(k).agg(F.sum("weight").alias("sum")).join(target, k, "left")
+    for k in wanted:
+        sums = cells.groupBy(k).agg(F.sum("weight").alias("sum"), F.first(f"_target_{k}").alias("target"))
         one = sums.select(F.lit(k).alias("attribute"), F.abs(F.col("sum") - F.coalesce("target", F.lit(0.0))).alias("gap"))
         gaps = one if gaps is None else gaps.union(one)
     found = {r.attribute: r.gap for r in gaps.groupBy("attribute").agg(F.max("gap").alias("gap")).collect()}
