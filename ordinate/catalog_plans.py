@@ -252,7 +252,7 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(GROUPED)
 def attention_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two heads that share keys and values; rows from the fourth on read the first three as a cache."""
-    df = _grouped(spark, sf_dir)
+    df = settled(_grouped(spark, sf_dir))  # it is read many times, and numbering events takes several shuffles
     how = {"scale": 0.5, "heads": 2, "groups": 1, "chunk": 8}
     first, rest = df.where("t < 3"), df.where("t >= 3")
     both = sequence.attention(first, ["user_id"], "t", "q", "k", "v", **how).unionByName(sequence.attention(rest, ["user_id"], "t", "q", "k", "v", past=first, **how))

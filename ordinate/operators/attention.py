@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from ..errors import ConfigError
 
-#: Rows of a chunk.
-CHUNK = 64
+#: Rows of a chunk; chunks that a task puts in a batch of its results.
+CHUNK, TOGETHER = 64, 128
 
 
 class Partial:
@@ -59,7 +59,7 @@ def _partials(keys: list[str], scale: float, heads: int, groups: int, causal: bo
     """Of each pair of chunks; those of one chunk of queries that follow one another are merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, times, held = None, None, None
+        at, times, held, done = None, None, None, []
         for batch in batches:
             names = batch.select([*keys, "i"]).to_pylist()
             for row, name in enumerate(names):
@@ -69,30 +69,35 @@ def _partials(keys: list[str], scale: float, heads: int, groups: int, causal: bo
                 own = Partial.of(_matrix(a.field("q"), len(a)), _matrix(b.field("k"), len(b)), _matrix(b.field("v"), len(b)), mask, scale, heads, groups)
                 if name != at:
                     if held is not None:
-                        yield _packed(keys, at, times, held)
+                        done.append((at, times, held))
+                    if len(done) >= TOGETHER:
+                        yield _packed(keys, done)
+                        done = []
                     at, times, held = name, tq, own
                 else:  # the same chunk has its rows in the same order
                     held = held.merged(own)
         if held is not None:
-            yield _packed(keys, at, times, held)
+            yield _packed(keys, [*done, (at, times, held)])
 
     return run
 
 
-def _packed(keys: list[str], at: dict, t: np.ndarray, p: Partial) -> pa.RecordBatch:
-    lists = [pa.array([x.ravel()], pa.list_(kind)) for x, kind in ((t, pa.int64()), (p.top, pa.float64()), (p.total, pa.float64()), (p.sums, pa.float64()))]
-    return pa.RecordBatch.from_arrays([pa.array([at[k]]) for k in (*keys, "i")] + lists, names=[*keys, "i", "t", "top", "total", "sums"])
+def _packed(keys: list[str], done: list[tuple[dict, np.ndarray, Partial]]) -> pa.RecordBatch:
+    found = (([t for _, t, _ in done], pa.int64()), *(([getattr(p, c).ravel() for _, _, p in done], pa.float64()) for c in ("top", "total", "sums")))
+    lists = [pa.array(x, pa.list_(kind)) for x, kind in found]
+    return pa.RecordBatch.from_arrays([pa.array([at[k] for at, _, _ in done]) for k in (*keys, "i")] + lists, names=[*keys, "i", "t", "top", "total", "sums"])
 
 
 def _merge(keys: list[str], heads: int):
     """Rows come sorted by (keys, i): partial ones of a chunk follow one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, t, held = None, None, None
+        at, t, held, done = None, None, None, []
 
         def ended() -> pa.RecordBatch:
-            n = len(t)
-            arrays = [pa.array([at[k]] * n) for k in keys] + [pa.array(t, pa.int64()), pa.array(list(held.out()), pa.list_(pa.float64()))]
+            names = [pa.array([a[k] for a, times, _ in done for _ in times]) for k in keys]
+            arrays = [*names, pa.array(np.concatenate([times for _, times, _ in done]), pa.int64()), pa.array([o for _, _, out in done for o in out], pa.list_(pa.float64()))]
+            done.clear()
             return pa.RecordBatch.from_arrays(arrays, names=[*keys, "t", "o"])
 
         for batch in batches:
@@ -102,11 +107,14 @@ def _merge(keys: list[str], heads: int):
                 own = Partial(*(np.array(r[c]).reshape(len(times), heads, *([-1] if c == "sums" else []))[order] for c in ("top", "total", "sums")))
                 if name != at:
                     if held is not None:
+                        done.append((at, t, held.out()))
+                    if len(done) >= TOGETHER:
                         yield ended()
                     at, t, held = name, times[order], own
                 else:
                     held = held.merged(own)
         if held is not None:
+            done.append((at, t, held.out()))
             yield ended()
 
     return run
