@@ -57,7 +57,7 @@ def in_parts(parts: list[DataFrame], transform: Callable[[DataFrame], DataFrame]
     return spark.read.schema(out.schema).parquet(path)
 
 
-def _stacked(column: pd.Series) -> np.ndarray:
+def _stacked(column: pd.Series | np.ndarray) -> np.ndarray:
     """[rows, values] of a column of arrays, or of arrays of arrays, laid end to end."""
     return np.array([np.concatenate([np.asarray(y, float).ravel() for y in x]) if len(x) and np.ndim(x[0]) else np.asarray(x, float) for x in column], float)
 
@@ -97,24 +97,31 @@ class _Attention(StatefulProcessor):
         return held.out()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = self.last.get()[0] if self.last.exists() else None
-        greatest = last
+        held = self.last.get()
+        last = held[0] if held is not None else None
+        greatest, asked, waits = last, None, False
         for batch in rows:
             if batch.empty:
                 continue
-            late = batch["t_"] <= last if last is not None else pd.Series(False, batch.index)
-            if late.any():
-                yield self._frame(key, batch["t_"][late].to_numpy(), [None] * int(late.sum()), True)
-            batch = batch[~late]
-            for start in range(0, len(batch), PIECE):
-                part = batch.iloc[start : start + PIECE]
-                t = part["t_"].tolist()
-                self.seen.appendValue((t, _stacked(part["k_"]).ravel().tolist(), _stacked(part["v_"]).ravel().tolist()))
-                self.waiting.appendValue((t, _stacked(part["q_"]).ravel().tolist(), []))
+            times, columns = batch["t_"].to_numpy(), [batch[c].to_numpy() for c in ("k_", "v_", "q_")]
+            if last is not None and (late := times <= last).any():
+                yield self._frame(key, times[late], [None] * int(late.sum()), True)
+                times, columns = times[~late], [c[~late] for c in columns]
+            for start in range(0, len(times), PIECE):
+                t = times[start : start + PIECE].tolist()
+                k, v, q = (_stacked(c[start : start + PIECE]) for c in columns)
+                self.seen.appendValue((t, k.ravel().tolist(), v.ravel().tolist()))
+                if asked is not None:  # one piece of queries is held, the others lie in the state
+                    self.waiting.appendValue((asked[0].tolist(), asked[1].ravel().tolist(), []))
+                    waits = True
+                asked = np.array(t), q
                 greatest = max(t) if greatest is None else max(greatest, *t)
-        for t, q, _ in self.waiting.get():
-            yield self._frame(key, np.array(t), list(self._over(np.array(t), np.array(q).reshape(len(t), -1))), False)
-        self.waiting.clear()
+        if waits:
+            for t, q, _ in self.waiting.get():
+                yield self._frame(key, np.array(t), list(self._over(np.array(t), np.array(q).reshape(len(t), -1))), False)
+            self.waiting.clear()
+        if asked is not None:
+            yield self._frame(key, asked[0], list(self._over(*asked)), False)
         if greatest is not None:
             self.last.update((int(greatest),))
 
