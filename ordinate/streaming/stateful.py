@@ -217,7 +217,8 @@ class _Steps(StatefulProcessor):
         return np.concatenate([first * np.cos(angle) + second * np.sin(angle), second * np.cos(angle) - first * np.sin(angle)], 1)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, h, before_u, angle = self.state.get() if self.state.exists() else (None, None, None, 0.0)
+        held = self.state.get()  # each call to the state store is a round trip to the JVM
+        last, h, before_u, angle = held if held is not None else (None, None, None, 0.0)
         rank, start, out = self.rank or 1, last, []
         for t, (x, b, c, dt, lam, rate, theta) in self.ordered(rows):
             if start is not None and t <= start:

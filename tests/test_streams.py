@@ -70,3 +70,30 @@ def test_plain_steps(spark):
     assert spark.conf.get(stateful.PROVIDER) != stateful.ROCKSDB
     with pytest.raises(ConfigError):
         stateful.steps(df.withColumn("z", F.lit(1)), ["k"], rank=0)
+
+
+def test_steps_read_a_state_by_one_call():
+    """A key's state is read once a trigger, whether there is one or not; each call is a round trip."""
+
+    class State:
+        def __init__(self, held):
+            self.held, self.calls = held, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.held is not None
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    run = stateful._Steps(["key0_"], None, False, 0.0, 10)
+    run.state, run.ordered = State(None), lambda rows: iter(rows)
+    row = [np.array(v, float) for v in ([1], [1], [1], [0.5], [1], [-1], [0])]
+    frames = [pd for t in (0, 1) for pd in run.handleInputRows(("=a",), [(t, row)], None)]
+    assert run.state.calls == ["get", "update"] * 2 and [f["t"].tolist() for f in frames] == [[0], [1]]
+    assert np.isclose(frames[1]["y"][0][0], 0.5 * np.exp(-0.5) + 0.5)
