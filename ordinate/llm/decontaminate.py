@@ -24,7 +24,9 @@ from .common import flagged, fresh, prepare, slices, small, texts, written
 #: Windows of a test item, in words.
 WINDOW = 10
 #: Bytes of text in a segment of the index, about.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 2 << 20
+#: Bytes of segments that a row group of the written index has, about: a task decodes one at a time.
+GROUP_BYTES = 4 << 20
 #: Words (and so windows) of test items that one round of the search takes, about: 200 MB on the driver, 60 MB in a worker.
 ROUND_WORDS = 1 << 20
 #: Pairs of a phrase and a place that are intersected at a time.
@@ -339,7 +341,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
     total = test.agg(F.sum(F.regexp_count("text", F.lit(WORD_PATTERN)))).first()[0] or 0
     rounds = max(1, -(-total // ROUND_WORDS))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds))
-    found = index = written(build_index(docs), "postings")
+    found = index = written(build_index(docs), "postings", GROUP_BYTES)
     for k in range(rounds):
         phrases = windows(((r.item_id, r.text) for r in test.where(part == k).collect()), size)
         found = _searched(found, phrases, _counts_of(index, phrases.vocabulary), k == 0, k == rounds - 1)

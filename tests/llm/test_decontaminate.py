@@ -68,3 +68,27 @@ def test_phrases_and_proximity(spark):
     exact = {(r.doc_id, r.phrase_id, r.position) for r in D.match(index, {"p": "red fox", "q": ""}).collect()}
     near = {(r.doc_id, r.exact) for r in D.match(index, {"p": "red fox"}, slop=1).collect()}
     assert exact == {(2, "p", 2)} and near == {(1, False), (2, True)}
+
+
+def test_index_is_decoded_and_sent_in_pieces_of_bounded_size(spark, monkeypatch):
+    """However much text a task of the index has: a row group is a few MB, and so is a batch that the search gets. Segments change no result."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    text = F.expr("concat_ws(' ', transform(sequence(1, 8000), k -> hex(pmod(xxhash64(id, k), 100000))))")
+    given = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text")).coalesce(1)
+    item = " ".join(given.where("doc_id = 7").first().text.split()[100:115])
+    tests, tables, write = spark.createDataFrame([("a", item)], "item_id string, text string"), [], D.written
+    monkeypatch.setattr(D, "written", lambda *a: tables.append(write(*a)) or tables[-1])
+    got = {r.doc_id: r.n_hit for r in D.report(given, tests).collect()}
+    assert got == {i: 15 * (i == 7) for i in range(400)}
+    [path] = [p for p in tables[0].inputFiles() if p.endswith(".parquet")]
+    meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+    assert meta.num_rows == sum(meta.row_group(k).num_rows for k in range(meta.num_row_groups))
+    assert max(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)) < 16 << 20
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes])})
+
+    assert max(r.n for r in tables[0].mapInArrow(sizes, "n bigint").collect()) < 32 << 20
